@@ -136,8 +136,8 @@ def dtf_curves(fx):
 LOSS_SQL = """(SELECT benchmark, half, dimension, avg(loss) AS mean_log_loss, stddev_samp(loss) / sqrt(count(*)) AS se FROM (
   SELECT r.benchmark, r.half, d AS dimension, r.model_id, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS loss FROM (
     SELECT *, unnest([1, 2, 4, 8, 16, 32]) AS d FROM fx_resp) r JOIN (
-    SELECT benchmark, half, item_id, d, (sum(y) + 0.1 * d) / (count(*) + d) AS q FROM (SELECT *, unnest([1, 2, 4, 8, 16, 32]) AS d FROM fx_resp) GROUP BY ALL) p
-    USING (benchmark, half, item_id, d) GROUP BY ALL) GROUP BY ALL)"""
+    SELECT benchmark, half, item_id, d, (sum(y) + 0.1 * d) / (count(*) + d) AS q FROM (SELECT *, unnest([1, 2, 4, 8, 16, 32]) AS d FROM fx_resp) GROUP BY benchmark, half, item_id, d) p
+    USING (benchmark, half, item_id, d) GROUP BY r.benchmark, r.half, d, r.model_id) GROUP BY ALL)"""
 
 
 @query("one_se_rule", f"""WITH l AS {LOSS_SQL}, b AS (SELECT benchmark, half, arg_min(dimension, mean_log_loss) AS best_dimension, min(mean_log_loss) + arg_min(se, mean_log_loss) AS t FROM l GROUP BY ALL)
