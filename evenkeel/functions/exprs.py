@@ -58,9 +58,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a.cast("double") / b.cast("double"))
 
 
-def take_count(fraction: float, n: Column) -> Column:
+def take_count(fraction: float | Column, n: Column) -> Column:
     """max(1, min(n, round-half-even(fraction * n)))."""
-    return F.greatest(F.lit(1), F.least(n, F.bround(F.lit(float(fraction)) * n, 0).cast("bigint")))
+    share = fraction if isinstance(fraction, Column) else F.lit(float(fraction))
+    return F.greatest(F.lit(1), F.least(n, F.bround(F.round(share * n, 9), 0).cast("bigint")))
 
 
 def tile(rn: Column, n: Column, k: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import coin, draw_key, take_count, tile
@@ -30,7 +30,7 @@ def discrimination_cells(items: DataFrame, value: str = "discrimination", strata
     return _cells(items, keys, "cell", value, strata, "disc_cell")
 
 
-def anchor_select(items: DataFrame, fraction: float, value: str = "magnitude",
+def anchor_select(items: DataFrame, fraction: float | Column, value: str = "magnitude",
                   keys: Sequence[str] = ("half",)) -> DataFrame:
     """Lowest-value share of each cell; the chosen items carry the mass of their cell."""
     ranked = value_row_number(items, [*keys, "cell"], value, "item_id")

@@ -194,3 +194,13 @@ def joint_offsets(packed: Packed, anchors: DataFrame, k: int, seed: int, cycles:
 
     rows = out.filter("kind = 0").select(F.col("id").alias("item_id"), F.col("v").alias("beta"))
     return rows.mapInPandas(spread, "item_id bigint, beta array<double>, offset_sd double, offset_max double"), theta
+
+
+def joint_estimator(seed: int, cycles: int = 8):
+    """Adjustment step for `purify_anchors`: joint axes from the anchors, loadings of every item given them."""
+    def adjust(packed: Packed, chosen: DataFrame, k: int, turn: int) -> tuple[DataFrame, np.ndarray]:
+        rows, theta = joint_offsets(packed, chosen.select("item_id", F.lit(True).alias("selected")), k, seed + turn, cycles)
+        a = rows.select("item_id", F.slice("beta", 2, k).alias("loadings"))
+        return packed.items.withColumn("scale", F.lit(1.0)).join(a, "item_id"), theta
+
+    return adjust

@@ -6,7 +6,7 @@ axes come from MLlib; loadings, offsets and fits run where the item rows lie.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -174,9 +174,20 @@ class AnchorFit:
     rounds: list[dict]
 
 
+Estimator = Callable[[Packed, DataFrame, int, int], tuple[DataFrame, np.ndarray]]
+
+
+def spectral_axes(packed: Packed, chosen: DataFrame, dimension: int, turn: int) -> tuple[DataFrame, np.ndarray]:
+    axes = model_axes(chosen, packed.n_models, dimension)
+    return project(packed.items, axes), axes
+
+
 def purify_anchors(packed: Packed, dimension: int, strata: int = 4, penalty: float = 1.0, cycles: int = 5,
-                   rounds: int = 3, fraction: float = 0.5) -> AnchorFit:
-    """Alternate spectral adjustment, residual effects and low-effect selection, then refit once.
+                   rounds: int = 3, fraction: float = 0.5, estimator: Estimator | None = None) -> AnchorFit:
+    """Alternate adjustment, residual effects and low-effect selection, then refit once.
+
+    `estimator(packed, chosen, dimension, turn)` returns items with loadings and the
+    model axes; the default is the spectral one.
 
     The final refit updates effects and intercepts, not selection, weights or cells.
     """
@@ -188,8 +199,8 @@ def purify_anchors(packed: Packed, dimension: int, strata: int = 4, penalty: flo
     anchors = None
     for turn in range(rounds + 1):
         check_dimension(dimension, n_anchors, packed.n_models)
-        axes = model_axes(chosen, packed.n_models, dimension)
-        fitted = cut(fit_dif(packed, project(everything, axes), axes, penalty, cycles))
+        adjusted, axes = (estimator or spectral_axes)(packed, chosen, dimension, turn)
+        fitted = cut(fit_dif(packed, adjusted, axes, penalty, cycles))
         magnitude = F.round(F.array_max("effects") - F.array_min("effects"), 12)
         table = fitted.select("item_id", "item_group", "intercept", magnitude.alias("magnitude"))
         if turn == rounds:
