@@ -8,16 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# A table proven to hold at most this many rows is ranked by a plain window.
+ONE_TASK_ROWS = 1_000_000
+
+
 def bucketed_row_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "rn",
+    rows: int | None = None,
 ) -> DataFrame:
     """row_number over `keys`, spread over buckets of the sort value.
 
     `bucket` must not decrease along `order`. Bucket counts are pre-aggregated on
     the map side; their running sum gives each bucket its offset. A group with a
-    third of all rows is thus sorted by as many tasks as it has buckets.
+    third of all rows is thus sorted by as many tasks as it has buckets. With a
+    counted `rows` below the one-task bound the buckets are left out.
     """
     keys = list(keys)
+    if rows is not None and rows <= ONE_TASK_ROWS:
+        w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        return df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast("bigint")).withColumn(
+            f"{name}_of", F.count(F.lit(1)).over(w))
     df = df.withColumn("_bucket", bucket)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -44,10 +54,11 @@ def hash_row_number(df: DataFrame, keys: Sequence[str], key: Column, id_col: str
 
 
 def value_row_number(df: DataFrame, keys: Sequence[str], value: str, id_col: str,
-                     descending: bool = False, name: str = "rn", grid: float = 256.0) -> DataFrame:
+                     descending: bool = False, name: str = "rn", grid: float = 256.0,
+                     rows: int | None = None) -> DataFrame:
     """1-based position inside `keys` by (value, id), with the group size `<name>_of`."""
     v = -F.col(value) if descending else F.col(value)
-    return bucketed_row_number(df, keys, [v, F.col(id_col)], F.floor(v * F.lit(float(grid))), name)
+    return bucketed_row_number(df, keys, [v, F.col(id_col)], F.floor(v * F.lit(float(grid))), name, rows)
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:

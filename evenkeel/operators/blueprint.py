@@ -11,17 +11,18 @@ from ..functions.exprs import coin, draw_key, take_count, tile
 from ..functions.ranks import hash_row_number, value_row_number
 
 
-def _cells(items: DataFrame, keys: Sequence[str], group: str, value: str, strata: int, label: str) -> DataFrame:
-    ranked = value_row_number(items, [*keys, group], value, "item_id")
+def _cells(items: DataFrame, keys: Sequence[str], group: str, value: str, strata: int, label: str,
+           rows: int | None = None) -> DataFrame:
+    ranked = value_row_number(items, [*keys, group], value, "item_id", rows=rows)
     stratum = tile(F.col("rn"), F.col("rn_of"), F.lit(strata))
     return ranked.withColumn(
         label, F.concat_ws("|", F.col(group).cast("string"), stratum.cast("string"))).drop("rn", "rn_of")
 
 
 def difficulty_cells(items: DataFrame, value: str = "intercept", strata: int = 4,
-                     keys: Sequence[str] = ("half",), group: str = "item_group") -> DataFrame:
-    """Near-equal easiness strata inside each item group; ties by item id."""
-    return _cells(items, keys, group, value, strata, "cell")
+                     keys: Sequence[str] = ("half",), group: str = "item_group", rows: int | None = None) -> DataFrame:
+    """Near-equal easiness strata inside each item group; ties by item id. `rows`: counted table size, if known."""
+    return _cells(items, keys, group, value, strata, "cell", rows)
 
 
 def discrimination_cells(items: DataFrame, value: str = "discrimination", strata: int = 4,
@@ -31,9 +32,9 @@ def discrimination_cells(items: DataFrame, value: str = "discrimination", strata
 
 
 def anchor_select(items: DataFrame, fraction: float | Column, value: str = "magnitude",
-                  keys: Sequence[str] = ("half",)) -> DataFrame:
+                  keys: Sequence[str] = ("half",), rows: int | None = None) -> DataFrame:
     """Lowest-value share of each cell; the chosen items carry the mass of their cell."""
-    ranked = value_row_number(items, [*keys, "cell"], value, "item_id")
+    ranked = value_row_number(items, [*keys, "cell"], value, "item_id", rows=rows)
     n = F.col("rn_of")
     k = take_count(fraction, n)
     chosen = F.col("rn") <= k

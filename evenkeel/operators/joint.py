@@ -110,8 +110,8 @@ def _solve_models(out: DataFrame, theta: np.ndarray, n_items: int) -> np.ndarray
 def _starts(packed: Packed, items: DataFrame, k: int, seed: int) -> list[np.ndarray]:
     """Spectral axes on a unit scale, and small keyed draws."""
     spectral = model_axes(items, packed.n_models, k) * np.sqrt(packed.n_models)
-    draw = lambda j: (pick(seed, F.lit(2001), "position", F.lit(j)) / 1000.0 - 1.0)
-    rows = packed.models.select("position", F.array(*[draw(j) for j in range(k)]).alias("t")).orderBy("position").toPandas()
+    draw = lambda j: (pick(seed, F.lit(2001), "model_id", F.lit(j)) / 1000.0 - 1.0)
+    rows = packed.models.select("model_id", F.array(*[draw(j) for j in range(k)]).alias("t")).orderBy("model_id").toPandas()
     return [spectral, np.vstack(rows["t"].to_numpy()) * 0.1 / k ** 0.25]
 
 

@@ -11,7 +11,6 @@ owner or family and taken off (inclusion-exclusion).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,54 +61,61 @@ def dominance_counts(scored: DataFrame, keys: Sequence[str], x: str, y: str,
         *keys, "scope", "step", "data",
         seen.over(running.rangeBetween(Window.unboundedPreceding, -1)).alias("_below"),
         seen.over(running.rangeBetween(1, Window.unboundedFollowing)).alias("_above"))
-    totals = counted.filter(~F.col("data")).groupBy(*keys, "scope", "step").agg(
-        F.sum("_below").alias("c"), F.sum("_above").alias("d"))
-    free = totals.filter("step = -1").select(*keys, "scope", F.col("c").alias("_c0"), F.col("d").alias("_d0"))
-    held = totals.join(free, [*keys, "scope"])
-    limited = F.col("step") >= 0
-    return held.select(
-        *keys, "scope", F.when(limited, F.round(F.col("step") / SCALE, 12)).otherwise(F.lit(-1.0)).alias("gap"),
-        F.when(limited, F.col("_c0") - F.col("c")).otherwise(F.col("c")).alias("concordant"),
-        F.when(limited, F.col("_d0") - F.col("d")).otherwise(F.col("d")).alias("discordant"))
-
-
-def _populations(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, gap) rows with pair counts of the three pair populations."""
-    def pick(scope: str, value: str) -> Column:
-        return F.sum(F.when(F.col("scope") == scope, F.col(value)).otherwise(F.lit(0)))
-
-    aggs = [pick(s, v).alias(f"_{v[0]}_{s}") for v in ("concordant", "discordant")
-            for s in ("all", "owner", "family", "both")]
-    t = counts.groupBy(*keys, "gap").agg(*aggs)
-
-    def total(kind: str, name: str) -> Column:
-        a, o, f, b = (F.col(f"_{kind}_{s}") for s in ("all", "owner", "family", "both"))
+    # One pass: counts per step side by side, then one row per limit (reach minus what lies beyond it).
+    def at(step: int, c: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("step") == step, F.col(c))), F.lit(0))
+
+    wide = counted.filter(~F.col("data")).groupBy(*keys, "scope").agg(
+        *[at(s, c).alias(f"{c}{i}") for i, s in enumerate(steps) for c in ("_below", "_above")])
+    limits = [F.struct(F.lit(-1.0).alias("gap"), F.col("_below0").alias("concordant"), F.col("_above0").alias("discordant"))] + [
+        F.struct(F.lit(float(g)).alias("gap"), (F.col("_below0") - F.col(f"_below{i}")).alias("concordant"),
+                 (F.col("_above0") - F.col(f"_above{i}")).alias("discordant")) for i, g in enumerate(gaps, start=1)]
+    return wide.select(*keys, "scope", F.explode(F.array(*limits)).alias("_l")).select(*keys, "scope", "_l.*")
+
+
+def _pair_sums(where: Column | None = None) -> dict[str, Column]:
+    """Pair and flip aggregates of the three populations over rows (scope, concordant, discordant)."""
+    def total(kind: str, scope: str) -> Column:
+        hit = F.col("scope") == scope
+        return F.coalesce(F.sum(F.when(hit if where is None else hit & where, F.col(kind))), F.lit(0))
+
+    def of(kind: str, name: str) -> Column:
+        a, o, f, b = (total(kind, s) for s in ("all", "owner", "family", "both"))
         return {"all": a - o, "cross_family": a - o - f + b, "same_family": f - b}[name]
 
-    out = [F.col("gap"), F.col("_c_all").alias("_conc"), F.col("_d_all").alias("_disc")]
+    out = {}
     for name in ("all", "cross_family", "same_family"):
-        out.append((total("c", name) + total("d", name)).cast("bigint").alias(f"{name}_pairs"))
-        out.append(total("d", name).cast("bigint").alias(f"{name}_flips"))
-    return t.select(*keys, *out)
+        out[f"{name}_pairs"] = (of("concordant", name) + of("discordant", name)).cast("bigint")
+        out[f"{name}_flips"] = of("discordant", name).cast("bigint")
+    return out
 
 
-def tied_pairs(scored: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    c = scored.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    return c.groupBy(*keys).agg(F.sum(F.col("_c") * (F.col("_c") - 1) / 2).alias(name))
+def _ties(scored: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """All pairs, pairs tied in x and pairs tied in y, from value counts of both scores."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(x).alias("v")), F.struct(F.lit(1).alias("side"), F.col(y).alias("v"))))
+    c = scored.select(*keys, sides.alias("_s")).groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    n, twice = F.col("_c"), F.col("_c") * (F.col("_c") - 1) / 2
+    t = c.groupBy(*keys).agg(
+        F.sum(F.when(F.col("_s.side") == 0, n)).alias("_n"), F.sum(F.when(F.col("_s.side") == 0, twice)).alias("_tx"),
+        F.sum(F.when(F.col("_s.side") == 1, twice)).alias("_ty"))
+    return t.withColumn("_n0", F.col("_n") * (F.col("_n") - 1) / 2).drop("_n")
 
 
-def kendall_tau_b(scored: DataFrame, keys: Sequence[str], x: str, y: str,
-                  counts: DataFrame | None = None) -> DataFrame:
+def _tau() -> Column:
+    under = (F.col("_n0") - F.col("_tx")) * (F.col("_n0") - F.col("_ty"))
+    return F.when(under > 0, (F.col("_conc") - F.col("_disc")) / F.sqrt(under)).alias("kendall_tau_b")
+
+
+def _free(kind: str) -> Column:
+    return F.sum(F.when((F.col("scope") == "all") & (F.col("gap") == -1.0), F.col(kind)))
+
+
+def kendall_tau_b(scored: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Tie-corrected rank correlation from pair counts; null when a score is constant."""
     keys = list(keys)
-    counts = dominance_counts(scored, keys, x, y) if counts is None else counts
-    cd = counts.filter("scope = 'all' and gap = -1").select(*keys, "concordant", "discordant")
-    n = scored.groupBy(*keys).agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("_n0"))
-    t = reduce(lambda a, b: a.join(b, keys), [
-        cd, n, tied_pairs(scored, keys, x, "_tx"), tied_pairs(scored, keys, y, "_ty")])
-    under = (F.col("_n0") - F.col("_tx")) * (F.col("_n0") - F.col("_ty"))
-    return t.select(*keys, F.when(under > 0, (F.col("concordant") - F.col("discordant")) / F.sqrt(under))
-                    .alias("kendall_tau_b"))
+    cd = dominance_counts(scored, keys, x, y).groupBy(*keys).agg(
+        _free("concordant").alias("_conc"), _free("discordant").alias("_disc"))
+    return cd.join(_ties(scored, keys, x, y), keys).select(*keys, _tau())
 
 
 def pairwise_reversals(scored: DataFrame, keys: Sequence[str] = ("half",), gap: float = 0.01,
@@ -119,17 +125,14 @@ def pairwise_reversals(scored: DataFrame, keys: Sequence[str] = ("half",), gap:
     Owners differ in every pair; exact ties in either score leave the denominator.
     """
     keys = list(keys)
-    counts = dominance_counts(scored, keys, x, y, [gap])
-    pops = _populations(counts, keys)
-    free = pops.filter("gap = -1").select(
-        *keys, "all_pairs", "all_flips", "cross_family_pairs", "cross_family_flips")
-    near = pops.filter("gap >= 0").select(
-        *keys, F.col("cross_family_pairs").alias("close_cross_family_pairs"),
-        F.col("cross_family_flips").alias("close_cross_family_flips"),
-        F.col("same_family_pairs").alias("close_same_family_pairs"),
-        F.col("same_family_flips").alias("close_same_family_flips"))
-    tau = kendall_tau_b(scored, keys, x, y, counts)
-    return free.join(near, keys).join(tau, keys)
+    free, near = _pair_sums(F.col("gap") == -1.0), _pair_sums(F.col("gap") >= 0)
+    names = ("pairs", "flips")
+    aggs = [free[f"{p}_{n}"].alias(f"{p}_{n}") for p in ("all", "cross_family") for n in names]
+    aggs += [near[f"{p}_{n}"].alias(f"close_{p}_{n}") for p in ("cross_family", "same_family") for n in names]
+    t = dominance_counts(scored, keys, x, y, [gap]).groupBy(*keys).agg(
+        *aggs, _free("concordant").alias("_conc"), _free("discordant").alias("_disc"))
+    cols = [f"{p}_{n}" for p in ("all", "cross_family", "close_cross_family", "close_same_family") for n in names]
+    return t.join(_ties(scored, keys, x, y), keys).select(*keys, *cols, _tau())
 
 
 def with_rates(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -141,9 +144,9 @@ def with_rates(metrics: DataFrame, names: Sequence[str]) -> DataFrame:
 def gap_curve(scored: DataFrame, gaps: Sequence[float], keys: Sequence[str] = ("half",),
               x: str = "full_score", y: str = "low_score") -> DataFrame:
     """Cross-family reversals cumulative over score gaps."""
-    pops = _populations(dominance_counts(scored, keys, x, y, gaps), list(keys))
-    return pops.filter("gap >= 0").select(
-        *keys, "gap", F.col("cross_family_pairs").alias("pairs"), F.col("cross_family_flips").alias("flips"))
+    sums = _pair_sums()
+    return dominance_counts(scored, list(keys), x, y, gaps).filter("gap >= 0").groupBy(*keys, "gap").agg(
+        sums["cross_family_pairs"].alias("pairs"), sums["cross_family_flips"].alias("flips"))
 
 
 def near_pairs(scored: DataFrame, gap: float, keys: Sequence[str] = ("half",), x: str = "full_score",

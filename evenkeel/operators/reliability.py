@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .pairs import pairwise_reversals
 from .scoring import replicate_scores
 
@@ -75,7 +76,7 @@ def evaluate_weights(cells: DataFrame, weights: DataFrame, items: DataFrame, sco
     """
     keys = list(keys)
     by = [*keys, "replicate"]
-    scores = replicate_scores(cells, weights, keys)
+    scores = cut(replicate_scores(cells, weights, keys))
     meta = scored.select(*keys, "model_id", "family", "owner", "full_score")
     reversals = pairwise_reversals(scores.withColumnRenamed("score", "low_score").join(meta, [*keys, "model_id"]), by, gap)
     table = weights.join(items, [*keys, "item_id"])

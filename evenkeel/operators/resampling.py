@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import draw_key, pick
 from ..functions.ranks import hash_row_number, value_row_number
+from ..session import cut
 from .blueprint import matched_random_weights, replicated
 from .pairs import gap_curve, near_pairs, pair_reversals, pairwise_reversals
 from .scoring import family_shift_range, replicate_scores, score_shift_table
@@ -54,7 +55,7 @@ def control_metrics(control: DataFrame, keys: Sequence[str] = ("half",), gap: fl
 
 def matched_random_controls(responses: DataFrame, anchors: DataFrame, scored: DataFrame, replicates: int,
                             seed: int, keys: Sequence[str] = ("half",), gap: float = 0.01) -> DataFrame:
-    return control_metrics(control_scores(responses, anchors, scored, replicates, seed, keys), keys, gap)
+    return control_metrics(cut(control_scores(responses, anchors, scored, replicates, seed, keys)), keys, gap)
 
 
 def gap_controls(control: DataFrame, gaps: Sequence[float], keys: Sequence[str] = ("half",)) -> DataFrame:
@@ -81,7 +82,7 @@ def composition_bootstrap(aggregates: DataFrame, scored: DataFrame, replicates:
                           keys: Sequence[str] = ("half",), gap: float = 0.01) -> DataFrame:
     """Reversals and tau-b per replicate; the near-pair mask is frozen from the observed scores."""
     keys = list(keys)
-    boot = composition_scores(aggregates, replicates, seed, keys)
+    boot = cut(composition_scores(aggregates, replicates, seed, keys))
     meta = scored.select(*keys, "model_id", "family", "owner")
     free = pairwise_reversals(boot.join(meta, [*keys, "model_id"]), [*keys, "replicate"], gap).drop(
         "close_cross_family_pairs", "close_cross_family_flips",

@@ -18,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip
-from ..functions.ranks import value_row_number
 from ..session import BROADCAST_BYTES, cut
-from .blueprint import anchor_jaccard, anchor_select, difficulty_cells
+from .blueprint import anchor_select, difficulty_cells
 from .dif import fit_rows, slices, spread_effects
 from .newton import loss_by_dimension, one_se_rule
 from .population import calibration_mask, nested_owner_split
@@ -32,10 +31,10 @@ CANDIDATE_DIMENSIONS = (1, 2, 4, 8, 16, 32, 64, 128, 256)
 
 @dataclass
 class Packed:
-    """Item rows (item_id, item_group, ys, p, scale) and the frozen model order."""
+    """Item rows (item_id, item_group, ys, p, scale); `ys` is ordered by model id (the matrix is complete)."""
 
     items: DataFrame
-    models: DataFrame  # model_id, family, owner, position
+    models: DataFrame  # model_id, family, owner
     families: list[str]
     codes: np.ndarray
     n_models: int
@@ -43,14 +42,12 @@ class Packed:
 
 def pack(cells: DataFrame) -> Packed:
     """Pack (item_id, item_group, model_id, family, owner, y) of one audit half."""
-    listed = value_row_number(cells.select("model_id", "family", "owner").distinct().withColumn("_all", F.lit(0)),
-                              ["_all"], "model_id", "model_id", grid=1 / 4096)
-    models = cut(listed.select("model_id", "family", "owner", (F.col("rn") - 1).cast("int").alias("position")))
-    order = models.orderBy("position").select("family").toPandas()["family"]  # one short string per model
+    models = cells.select("model_id", "family", "owner").distinct()
+    order = models.select("model_id", "family").orderBy("model_id").toPandas()["family"]  # one short string per model
     families = sorted(order.unique())
     codes = order.map({f: i for i, f in enumerate(families)}).to_numpy(dtype=np.int32)
-    rows = cells.join(models.select("model_id", "position"), "model_id").groupBy("item_id", "item_group").agg(
-        F.sort_array(F.collect_list(F.struct("position", F.col("y").cast("tinyint").alias("y")))).alias("g"),
+    rows = cells.groupBy("item_id", "item_group").agg(
+        F.sort_array(F.collect_list(F.struct("model_id", F.col("y").cast("tinyint").alias("y")))).alias("g"),
         F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
     p = clip((F.col("s") + 0.5) / (F.col("n") + 1.0), 1e-4, 1 - 1e-4)
     items = rows.select("item_id", "item_group", F.transform("g", lambda x: x["y"]).alias("ys"), p.alias("p")).withColumn(
@@ -195,7 +192,7 @@ def purify_anchors(packed: Packed, dimension: int, strata: int = 4, penalty: flo
     chosen = everything
     previous: DataFrame | None = None
     history: list[dict] = []
-    n_anchors = everything.count()
+    n_items = n_anchors = everything.count()
     anchors = None
     for turn in range(rounds + 1):
         check_dimension(dimension, n_anchors, packed.n_models)
@@ -208,15 +205,17 @@ def purify_anchors(packed: Packed, dimension: int, strata: int = 4, penalty: flo
             final = cut(frozen.join(table, "item_id"))
             effects = spread_effects(fitted.select("item_id", "effects"), packed.families)
             return AnchorFit(final, effects, fitted.select("item_id", "loadings", "scale", "offset_sd"), axes, packed, history)
-        cells = difficulty_cells(table, "intercept", strata, [])
-        anchors = cut(anchor_select(cells, fraction, "magnitude", []))
-        jaccard = 1.0 if previous is None else anchor_jaccard(
-            previous.withColumn("_k", F.lit(1)), anchors.withColumn("_k", F.lit(1)), ["_k"]).first()["jaccard"]
-        seen = anchors.agg(
+        cells = difficulty_cells(table, "intercept", strata, [], rows=n_items)
+        anchors = cut(anchor_select(cells, fraction, "magnitude", [], rows=n_items))
+        now, was = F.col("selected"), F.coalesce(F.col("_was"), F.lit(False))
+        before = (anchors.select("item_id", F.col("selected").alias("_was")) if previous is None
+                  else previous.select("item_id", F.col("selected").alias("_was")))
+        seen = anchors.join(before, "item_id", "left").agg(
             F.count_if("selected").alias("n"), F.percentile("magnitude", 0.5).alias("m"),
-            F.percentile(F.when(F.col("selected"), F.col("magnitude")), 0.5).alias("a")).first()
+            F.percentile(F.when(now, F.col("magnitude")), 0.5).alias("a"),
+            (F.count_if(now & was) / F.count_if(now | was)).alias("j")).first()
         n_anchors = seen["n"]
-        history.append({"round": turn + 1, "dimension": dimension, "n_anchors": n_anchors, "jaccard": float(jaccard),
+        history.append({"round": turn + 1, "dimension": dimension, "n_anchors": n_anchors, "jaccard": float(seen["j"]),
                         "median_range_all": seen["m"], "median_range_anchor": seen["a"]})
         previous = anchors
         chosen = everything.join(anchors.filter("selected").select("item_id"), "item_id", "left_semi")
@@ -227,12 +226,11 @@ def nested_design(cells: DataFrame, seed: int) -> tuple[Packed, Packed, DataFram
     """Packed fit models, packed held-out models (a quarter of the owners) and the item calibration mask."""
     people = cells.select("model_id", "family", "owner").distinct()
     marked = cut(nested_owner_split(people.withColumn("_all", F.lit(0)), ["_all"], seed).drop("_all"))
-    sizes = {r["is_validation"]: r["n"] for r in marked.groupBy("is_validation").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sizes.get(True, 0) < 4 or sizes.get(False, 0) < 8:
-        raise ValueError("nested owner split has too few models")
     side = cells.join(marked.select("model_id", "is_validation"), "model_id")
     fit = pack(side.filter("not is_validation").drop("is_validation"))
     held = pack(side.filter("is_validation").drop("is_validation"))
+    if held.n_models < 4 or fit.n_models < 8:
+        raise ValueError("nested owner split has too few models")
     split = calibration_mask(fit.items.select("item_id", "item_group"), "item_group", "item_id", seed)
     return fit, held, split.select("item_id", "is_calibration")
 

@@ -269,7 +269,7 @@ def predictor_comparison(fx):
     keys = [*FOLD, "model_id"]
     a, b = predict.auc(cells, keys, "z_item"), predict.auc(cells, keys, "z_cat").withColumnRenamed("auc", "other")
     pairs = a.join(b, keys).withColumn("delta", F.round(F.col("auc") - F.col("other"), 12))
-    return rounded(predict.compare_predictors(pairs, FOLD).drop("wilcoxon_p")).withColumn("wilcoxon_z", F.round("wilcoxon_z", 6))
+    return rounded(predict.compare_predictors(pairs, FOLD).drop("wilcoxon_p").withColumn("wilcoxon_z", F.round("wilcoxon_z", 6)))
 
 
 @query("item_rate_metrics", """SELECT i.benchmark, i.half, round(corr(intercept, shrunk), 8) AS pearson_r, round(1 - sum((intercept - shrunk) * (intercept - shrunk)) / (var_pop(intercept) * count(*)), 8) AS r2,

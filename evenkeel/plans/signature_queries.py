@@ -124,7 +124,7 @@ def source_effects(fx):
 
 @query("source_extremes", f"SELECT benchmark, family, item_group, items, direction, sign_replicated, {rnd('discovery', 'validation')}, round(attenuation, 6) AS attenuation FROM fx_source_ext")
 def source_extremes(fx):
-    return rounded(sig.source_extremes(sig.source_effects(fx.effects))).withColumn("attenuation", F.round("attenuation", 6))
+    return rounded(sig.source_extremes(sig.source_effects(fx.effects)).withColumn("attenuation", F.round("attenuation", 6)))
 
 
 @query("source_effect_correlation", f"""SELECT benchmark, family, count(*) AS sources, round(corr(a, b), 8) AS spearman FROM (
