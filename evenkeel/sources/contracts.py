@@ -32,13 +32,18 @@ def validate_responses(responses: DataFrame, models: DataFrame, items: DataFrame
     """Violations of the outcome contract, one row per rule (zero violations = valid).
 
     Rules: only 0/1, complete and unique cells, unique and non-blank model and
-    item rows, at least two families and four owners. One pass over the facts.
+    item rows, at least two families and four owners.
     """
     facts = responses.groupBy(*keys, "item_id", "model_id").agg(
         F.count(F.lit(1)).alias("c"), F.count_if(F.col("y").isNull() | ~F.col("y").isin(0, 1)).alias("bad"))
-    f = facts.agg(
-        F.sum("bad").alias("not_binary"), F.count_if(F.col("c") > 1).alias("repeated_cell"), F.count(F.lit(1)).alias("_cells"),
-        F.countDistinct(*keys, "item_id").alias("_items"), F.countDistinct("model_id").alias("_models"))
+    # Second level per item: plain counts instead of distinct counts over all cells.
+    per_item = facts.groupBy(*keys, "item_id").agg(
+        F.sum("bad").alias("bad"), F.count_if(F.col("c") > 1).alias("rep"), F.count(F.lit(1)).alias("cells"))
+    f = per_item.agg(
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("not_binary"), F.coalesce(F.sum("rep"), F.lit(0)).alias("repeated_cell"),
+        F.sum("cells").alias("_cells"), F.count(F.lit(1)).alias("_items"), F.lit(1).alias("_k"))
+    seen = responses.select("model_id").distinct().agg(F.count(F.lit(1)).alias("_models"), F.lit(1).alias("_k"))
+    f = f.join(seen, "_k").drop("_k")
     m = models.agg(
         (F.count(F.lit(1)) - F.countDistinct("model_id")).alias("repeated_model"),
         F.count_if(_blank("model_id") | _blank("family") | _blank("owner")).alias("blank_model_field"),
