@@ -132,7 +132,7 @@ def test_permutation_keeps_groups(spark):
 def test_assignment_is_optimal():
     rng = np.random.default_rng(0)
     for _ in range(20):
-        n, m = rng.integers(1, 5), rng.integers(5, 7)
+        n, m = int(rng.integers(1, 5)), int(rng.integers(5, 7))
         cost = rng.random((n, m))
         i, j = matching.assign(cost)
         best = min(sum(cost[a, p[a]] for a in range(n)) for p in itertools.permutations(range(m), n))
