@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii
+from . import chat, packing, pii, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,11 +22,33 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_warc_zstd", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(hex, (5 * (k // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex, n) AS first
+  FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, folder, "pages"), min_bytes=0)
+    return warc.read_archives(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_pii_anchor_expansion")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pii.span_report(table(spark, folder, "documents"))
 
 
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, folder, "documents")))
+
+
 @query("op10_chat_formatting", rf"""
 WITH rows AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
