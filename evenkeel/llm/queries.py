@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, pii, warc
+from . import chat, html, packing, pii, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_html_block_labeller")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html.main_text(pages, html.fit(pages))
+
+
 @query("op4_warc_zstd", """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (
