@@ -30,7 +30,7 @@ from ..session import cut
 CAPACITY = 1024
 END_ID = 2
 CACHE_WORDS = 300_000  # entries of the word cache of a Python worker
-ROWS_PER_BUCKET = 8_192
+ROWS_PER_BUCKET = 1_024
 
 SPECIAL = "<|endoftext|>"
 COMMON = re.compile(r"[\x00-ɏ]*")  # characters whose classes no Unicode version disputes
