@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, packing, pii, warc
+from . import chat, hamming, html, packing, pii, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,22 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(pages, html.fit(pages))
 
 
+@query("op3_bit_sliced_top_k", """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM ok q JOIN ok c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    rows = topk.quantised(table(spark, folder, "embeddings"), scale=64.0)
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 @query("op4_warc_zstd", """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (
@@ -50,6 +66,22 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pii.span_report(table(spark, folder, "documents"))
 
 
+@query("op7_itq_hamming_dedup", """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS id, vec_id AS top FROM embeddings UNION SELECT l.b, r.top FROM reach r JOIN links l ON r.id = l.a)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.a = v.vec_id)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM embeddings v JOIN (SELECT id, min(top) AS component_id FROM reach GROUP BY id) c ON c.id = v.vec_id
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return hamming.near_duplicates(table(spark, folder, "embeddings"), threshold=0.98)
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, folder, "documents")))

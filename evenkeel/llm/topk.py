@@ -141,7 +141,7 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     top = F.lit(LARGEST).cast("long")
     whole = F.transform(x, lambda e: F.greatest(-top, F.least(top, F.floor(e * F.lit(scale)))))
-    return (vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.when(x.isNotNull() & (F.size(x) > 0) & finite, whole).alias("v"))
+    return (vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.when(x.isNotNull() & (F.size(x) > 0) & finite, whole.cast("array<int>")).alias("v"))
             .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()))
 
 
@@ -170,7 +170,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, rows_per_block: int
     # Every row block goes to every query block once: both are few, and neither side is collected.
     left = blocked(rows, row_blocks, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")))
     right = blocked(queries, query_blocks, "q")
-    cells = left.join(right.hint("shuffle_hash"), "q").repartition(min(row_blocks * query_blocks, 2000), "r", "q")
+    cells = left.join(right.hint("shuffle_hash"), "q").repartition(row_blocks * query_blocks, "r", "q")
 
     def matrix(vectors) -> np.ndarray:
         out = np.zeros((len(vectors), width), np.int64)
