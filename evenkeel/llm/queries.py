@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, hamming, html, packing, pii, topk, warc
+from . import chat, hamming, html, jaccard, packing, pii, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,25 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return hamming.near_duplicates(table(spark, folder, "embeddings"), threshold=0.98)
 
 
+@query("op8_multi_order_jaccard", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                             '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS id, doc_id AS top FROM documents UNION SELECT l.b, r.top FROM reach r JOIN links l ON r.id = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id
+FROM s JOIN (SELECT id, min(top) AS component_id FROM reach GROUP BY id) c ON c.id = s.doc_id
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, folder, "documents"), size=4, percent=85)
+
+
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, folder, "documents")))
