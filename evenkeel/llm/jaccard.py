@@ -116,7 +116,7 @@ def dealt(docs: DataFrame, size: int, ranges: int, frequent: np.ndarray, weights
                 low = g // np.uint64(ranges) & LOW
                 at = np.searchsorted(frequent, g)
                 hot = (frequent[np.minimum(at, len(frequent) - 1)] == g) if len(frequent) else np.zeros(len(g), bool)
-                ids = pa.compute.fill_null(batch.column(0), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 out = [(b, b % ranges, True, ids.tobytes() + n.astype(np.int64).tobytes(),
                         np.bincount(doc[hot], minlength=len(n)).astype(np.uint32).tobytes(),
                         (low[hot] * np.uint64(ranges) + p[hot].astype(np.uint64)).tobytes(), weights[at[hot]].tobytes() if hot.any() else b"")]
@@ -180,7 +180,7 @@ def shared_of(ranges: int, percent: int):
         reach = np.minimum(prefix_length(n, percent) - (n - held), held)  # shared tokens inside the prefix
         out: list[list] = [[], [], [], [], []]
         ends = np.cumsum(held)
-        for i in np.flatnonzero((reach > 0) & (ids >= 0) | (reach > 0) & (ids < -1)).tolist():
+        for i in np.flatnonzero(reach > 0).tolist():
             t, w = tokens[ends[i] - held[i] : ends[i]], weights[ends[i] - held[i] : ends[i]]
             step = np.frexp(w.astype(np.float64))[1]  # orders after the first only know the size class of a frequency
             orders = [np.lexsort((t, w)), *[np.lexsort((mix(t, 10 + k), step)) for k in range(1, ORDERS)]]
@@ -234,7 +234,7 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: st
     weights = np.minimum(np.array([r["count"] for r in top], np.int64), 65_535).astype(np.uint16)[order]
     ranges = max(1, -(-total // TOKENS_PER_RANGE))
 
-    counted = (dealt(texts, size, ranges, frequent[order], weights).repartition(ranges, "p")
+    counted = (dealt(texts.where("doc_id IS NOT NULL"), size, ranges, frequent[order], weights).repartition(ranges, "p")
                .groupBy("p").applyInArrow(count_range, DEALT))
     shared = counted.groupBy("b").applyInArrow(shared_of(ranges, percent), SHARED)
     shared = cut(shared.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))

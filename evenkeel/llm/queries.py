@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, hamming, html, jaccard, packing, pii, topk, warc
+from . import chat, hamming, html, jaccard, packing, pii, quality, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pii.span_report(table(spark, folder, "documents"))
 
 
+@query("op6_quality_empirical_bayes")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "p_low", "p_toxic", "keep")
+
+
 @query("op7_itq_hamming_dedup", """
 WITH RECURSIVE ok AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
