@@ -32,11 +32,12 @@ from pyspark.sql import types as T
 
 from ..session import cut
 from .common import fresh
-from .shingles import SPACE, chunks, text_bytes, words
+from .shingles import MARKS, SPACE, chunks, text_bytes, words
 
 BUCKETS = 1 << 22  # hashed words
 KEPT = 1 << 16  # telling words at most; fixes the size of the model
-LEAST, TELLING = 5, 3.5  # labelled documents that a telling word is in, and standard errors of its log ratio
+LEAST, TELLING = 3, 4.0  # labelled documents that a telling word is in, and the root of its likelihood ratio statistic
+BEGINNINGS = (4, 5)  # first bytes of words that count like words, so that forms of a word share evidence
 ROUNDS = 12  # Newton steps of the calibration
 TARGETS = ("low", "toxic")
 SHAPE = ("symbols", "capitals", "digits", "word_length", "repeats")
@@ -47,10 +48,10 @@ COMPACT = "doc_id long, buckets binary, times binary, shape array<double>"
 
 
 def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text and bucket of each distinct word of each text, with its count, and the words of each text."""
-    h, counts = words(column)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    key = doc * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64)
+    """Text and bucket of each distinct word, and beginning of a word, of each text, with its count; the words of each text."""
+    h, counts = words(column, MARKS, BEGINNINGS)
+    doc = np.tile(np.repeat(np.arange(len(counts)), counts), len(h))
+    key = doc * BUCKETS + (h.ravel() % np.uint64(BUCKETS)).astype(np.int64)
     key, times = np.unique(key, return_counts=True)
     return key // BUCKETS, key % BUCKETS, times, counts
 
@@ -66,8 +67,9 @@ def shape(column: pa.Array) -> np.ndarray:
     letter = (raw >= 65) & (raw <= 90) | (raw >= 97) & (raw <= 122) | (raw >= 128)
     digit = (raw >= 48) & (raw <= 57)
     plain = letter | digit | SPACE[raw] | np.isin(raw, np.frombuffer(b".,'-", np.uint8))
-    doc, _, _, counts = distinct_words(column)
-    kinds = np.bincount(doc, minlength=len(counts))
+    h, counts = words(column, MARKS)
+    doc = np.repeat(np.arange(len(counts)), counts)
+    kinds = np.bincount(np.unique(doc * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64)) // BUCKETS, minlength=len(counts))
     return np.stack([share(~plain), share((raw >= 65) & (raw <= 90)), share(digit),
                      np.minimum(1, np.diff(at) / np.maximum(1, counts) / 30), 1 - kinds / np.maximum(1, counts)], 1)
 
@@ -163,15 +165,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             seen = [np.bincount(place, v[doc], len(some)) for v in (np.ones(len(own)), *y)]
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), *map(pa.array, seen)], ["bucket", "n", "low", "toxic"])
 
-    def ratio(t: str):
-        """Log ratio of a word's presence in either class and how many standard errors it is away from none."""
-        yes, no = F.col(t) + 0.5, F.col("n") - F.col(t) + 0.5
-        value = F.log(yes / float(totals[t] + 1)) - F.log(no / float(totals["n"] - totals[t] + 1))
-        return F.abs(value) / F.sqrt(1 / yes + 1 / no)
+    def telling(t: str):
+        """Root of the likelihood ratio of the word's documents having the class as often as they do, or as all documents do."""
+        share = float(totals[t] / totals["n"])
+        yes, no = F.col(t), F.greatest(F.col("n") - F.col(t), F.lit(0.0))
+
+        def term(k, expected):
+            return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
+        return F.sqrt(F.greatest(2 * (term(yes, F.col("n") * share) + term(no, F.col("n") * (1 - share))), F.lit(0.0)))
 
     counted = (sample.mapInArrow(count, "bucket long, n double, low double, toxic double").groupBy("bucket")
                .agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)]).where(F.col("n") >= LEAST)
-               .withColumn("z", F.greatest(*map(ratio, TARGETS))).where(F.col("z") >= TELLING)
+               .withColumn("z", F.greatest(*map(telling, TARGETS))).where(F.col("z") >= TELLING)
                .orderBy(F.desc("z"), "bucket").limit(KEPT).drop("z").toPandas().sort_values("bucket"))  # KEPT rows at most
 
     def weigh(name: str, label: int | None) -> np.ndarray:

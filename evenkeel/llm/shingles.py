@@ -9,6 +9,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])  # white space and ASCII punctuation
 _DRAW = np.random.default_rng(20240607)
 BYTES = _DRAW.integers(0, 1 << 64, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -39,12 +40,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased, parted by ASCII white space) and the number of words of each text."""
+def words(column: pa.Array, between: np.ndarray = SPACE, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lower-cased, parted by the bytes `between`) and the number of words of each text.
+
+    With `beginnings` there is a row of hashes for the words and one for the first bytes of them, for each length.
+    """
+    parts = 1 + len(beginnings)
     raw, at = text_bytes(column)
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(len(column), np.int64)
-    inside = ~SPACE[raw]
+        return np.zeros((parts, 0) if beginnings else 0, np.uint64), np.zeros(len(column), np.int64)
+    inside = ~between[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edge = at[:-1][at[:-1] < len(raw)]
@@ -52,7 +57,7 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(first)
     counts = np.diff(np.searchsorted(starts, at))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros((parts, 0) if beginnings else 0, np.uint64), counts
     place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else None
     if place is None:
         raw, inside = raw[starts[0] :], inside[starts[0] :]
@@ -61,7 +66,10 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place[~inside] = 0
     values = BYTES[LOWER[raw]] * powers(int(place.max()) + 1)[place]
     values[~inside] = 0
-    return mix(np.add.reduceat(values, starts)), counts
+    whole = mix(np.add.reduceat(values, starts))
+    if not beginnings:
+        return whole, counts
+    return np.stack([whole, *[mix(np.add.reduceat(np.where(place < n, values, 0), starts), 20 + n) for n in beginnings]]), counts
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
