@@ -13,11 +13,12 @@ must share a prefix token under each of the others before they are verified.
    shares come first in every order, so a document whose prefix they fill can have no
    partner and takes no further part; what is shared also is all that verification needs.
    Tokens known to be frequent are not dealt at all, so no range holds a hot one.
-3. Rounds of leaders, one for each order: in each prefix bucket every document is verified
-   against the bucket's leader (the one with the largest share of shared tokens), which ties
-   large groups of near copies together with few pairs.
-4. The last round takes all pairs in a prefix bucket that are still in different components,
-   so that no link between different texts is lost.
+3. In each prefix bucket of the first order every document is verified against the bucket's
+   leader (the one with the largest share of shared tokens), which ties large groups of near
+   copies together with few pairs.
+4. Documents that share a bucket and still are in different components meet in blocks of
+   bounded size, where all of their pairs pass the filters of all orders and the exact test;
+   no link between different texts is lost, and pairs that fail never leave the block.
 
 Links: 100 * intersection >= percent * union. Null and empty texts and texts without words
 have an empty set and link with nothing. Documents are known by doc_id: repeated rows are
@@ -42,6 +43,7 @@ ORDERS = 3
 TOKENS_PER_RANGE = 1_500_000  # expected tokens of a hash range, which is one group in a task
 SUMMARY, FREQUENT = 4_096, 32_768  # entries of a task's summary and of the merged one
 FREQUENT_FROM = 256  # documents from which a token may count as frequent
+BLOCK = 256  # documents of a block in the last round
 LOW = np.uint64((1 << 40) - 1)
 
 SETS = "doc_id long, n long, s1 long, s2 long, token long, count long"
@@ -246,42 +248,113 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: st
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "own").alias("component_id")))
 
 
+def keys(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """Prefix tokens under the first order, with the document's component so far."""
+    rows = shared.select("doc_id", "n", "share", F.explode(F.element_at("prefixes", 1)).alias("token"))
+    if groups is None:
+        return rows.withColumn("component", F.col("doc_id"))
+    return rows.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def linked(shared: DataFrame, percent: int) -> DataFrame:
     """Links that connect all documents linked directly or by way of others."""
-    spark = shared.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    where: DataFrame | None = None  # doc_id, component after the rounds so far
-
-    def keys(k: int) -> DataFrame:
-        """Prefix tokens under order k of documents whose bucket still holds more than one component."""
-        rows = shared.select("doc_id", "n", "share", F.explode(F.element_at("prefixes", k + 1)).alias("token"))
-        if where is not None:
-            rows = rows.join(where.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        else:
-            rows = rows.withColumn("component", F.col("doc_id"))
-        return rows
-
-    for k in range(ORDERS):
-        rows = keys(k)
-        best = F.struct(F.col("share"), (-F.col("doc_id")).alias("d"), F.col("n"), F.col("component"))
-        leaders = (rows.groupBy("token").agg(F.max(best).alias("lead"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-                   .where("c1 <> c2").select("token", (-F.col("lead.d")).alias("x"), F.col("lead.n").alias("nx"), F.col("lead.component").alias("cx")))
-        pairs = (rows.join(leaders, "token").where("component <> cx").where(near("n", "nx", percent))
-                 .select("x", F.col("doc_id").alias("y")).distinct())
-        pairs = cut(pairs)
-        if not pairs.take(1):
-            break
-        links = cut(links.unionByName(verified(pairs, shared, percent)))
-        where = components(links)
-    else:
-        rows = keys(0)
-        mixed = rows.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("token")
-        rows = rows.join(mixed, "token")
-        other = rows.select("token", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-        pairs = (rows.join(other, "token").where("doc_id < y AND component <> cy").where(near("n", "ny", percent))
-                 .select(F.col("doc_id").alias("x"), "y").distinct())
-        links = links.unionByName(verified(pairs, shared, percent))
-    return links
+    rows = keys(shared, None)
+    best = F.struct(F.col("share"), (-F.col("doc_id")).alias("d"), F.col("n"))
+    leaders = (rows.groupBy("token").agg(F.max(best).alias("lead"), F.count("*").alias("docs")).where("docs > 1")
+               .select("token", (-F.col("lead.d")).alias("x"), F.col("lead.n").alias("nx")))
+    pairs = (rows.join(leaders, "token").where("doc_id <> x").where(near("n", "nx", percent))
+             .select("x", F.col("doc_id").alias("y")).distinct())
+    links = cut(verified(pairs, shared, percent))
+    return links.unionByName(between_components(shared, components(links), percent))
+
+
+def between_components(shared: DataFrame, groups: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between documents of different components that share a prefix bucket.
+
+    Documents are dealt into blocks of bounded size by the most frequent token they have in
+    such a bucket, so that near copies sit together. Two blocks meet if a bucket has
+    documents of both; only the links that connect something leave the meeting.
+    """
+    rows = keys(shared, groups).select("doc_id", "token", "component")
+    mixed = rows.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("docs")).where("c1 <> c2")
+    rows = cut(rows.join(mixed.select("token", "docs"), "token"))
+    anchors = rows.groupBy("doc_id", "component").agg(F.max(F.struct("docs", "token")).alias("anchor"))
+    sizes = anchors.groupBy("anchor").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    place = F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    placed = cut(anchors.join(sizes, "anchor").select("doc_id", "component", place.alias("block")))
+    of_token = rows.select("doc_id", "token").join(placed.select("doc_id", "block"), "doc_id").select("token", "block").distinct()
+    meetings = (of_token.join(of_token.select("token", F.col("block").alias("other")), "token").where("block <= other")
+                .select("block", "other").distinct())
+    sides = (meetings.select("block", "other", F.explode(F.array_distinct(F.array("block", "other"))).alias("own")))
+    held = placed.withColumnRenamed("block", "own").join(shared.select("doc_id", "n", "prefixes", "tokens"), "doc_id")
+    cells = (sides.join(held, "own")
+             .groupBy("block", "other").agg(F.collect_list(F.struct((F.col("own") == F.col("block")).alias("first"), "doc_id", "n", "component", "prefixes", "tokens")).alias("m"))
+             .select((F.col("block") == F.col("other")).alias("same"), "m"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for same, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                m = cell.values
+                first, ids, n, component = (m.field(k).to_numpy(zero_copy_only=False) for k in ("first", "doc_id", "n", "component"))
+                a = np.flatnonzero(first)
+                b = a if same else np.flatnonzero(~first)
+                good = component[a][:, None] != component[b][None]
+                good &= 100 * np.minimum(n[a][:, None], n[b][None]) >= percent * np.maximum(n[a][:, None], n[b][None])
+                if same:
+                    good &= np.arange(len(a))[:, None] < np.arange(len(b))[None]
+                for k in range(ORDERS):
+                    if good.any():
+                        good &= common([m.field("prefixes")[i].values[k].values for i in a.tolist()], [m.field("prefixes")[i].values[k].values for i in b.tolist()]) > 0
+                if good.any():
+                    both = common([m.field("tokens")[i].values for i in a.tolist()], [m.field("tokens")[i].values for i in b.tolist()])
+                    good &= 100 * both >= percent * (n[a][:, None] + n[b][None] - both)
+                p, q = np.nonzero(good)
+                found += forest(ids[a[p]].tolist(), ids[b[q]].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+    return cells.mapInArrow(meet, "a long, b long")
+
+
+def common(left: list[pa.Array], right: list[pa.Array], most: int = 4_000_000) -> np.ndarray:
+    """How many tokens each of the left sets shares with each of the right ones."""
+    def flat(sets_: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        values = [s.to_numpy(zero_copy_only=False) for s in sets_]
+        tokens, of = np.concatenate(values), np.repeat(np.arange(len(values)), [len(v) for v in values])
+        order = np.argsort(tokens, kind="stable")
+        return tokens[order], of[order]
+    (t, i), (u, j) = flat(left), flat(right)
+    out = np.zeros(len(left) * len(right), np.int64)
+    start, end = np.searchsorted(u, t, "left"), np.searchsorted(u, t, "right")
+    hits = np.flatnonzero(end > start)
+    sums = np.cumsum(end[hits] - start[hits])
+    at = 0
+    while at < len(hits):  # some millions of meetings at a time
+        stop = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + most)))
+        own = hits[at:stop]
+        count = end[own] - start[own]
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(start[own], count)
+        out += np.bincount(np.repeat(i[own], count) * len(right) + j[place], minlength=len(out))
+        at = stop
+    return out.reshape(len(left), len(right))
+
+
+def forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Links without those between ends already connected."""
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for x, y in zip(a, b, strict=True):
+        p, q = find(x), find(y)
+        if p != q:
+            top[p] = q
+            out.append((x, y))
+    return out
 
 
 def near(a: str, b: str, percent: int):
