@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, hamming, html, jaccard, packing, pii, quality, topk, warc
+from . import chat, hamming, html, jaccard, packing, pii, quality, sentencepiece, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_sentencepiece_lattice")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    coded = sentencepiece.encode(table(spark, folder, "documents").select("doc_id", "text"))
+    back = sentencepiece.decode(coded.select("doc_id", "ids"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op2_html_block_labeller")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
