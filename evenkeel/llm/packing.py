@@ -161,10 +161,27 @@ class Lengths:
         self.count = dict(counts)
         self.order = sorted(counts)
 
-    def best(self, limit: int) -> int | None:
+    def largest(self, limit: int, need: dict[int, int]) -> int | None:
+        """The largest length up to the limit that is left beside the needed ones."""
         k = bisect_right(self.order, limit)
+        while k and self.count[self.order[k - 1]] <= need.get(self.order[k - 1], 0):
+            k -= 1
         return self.order[k - 1] if k else None
 
+    def best_two(self, limit: int, need: dict[int, int]) -> tuple[int, int] | None:
+        """The two lengths with the largest sum up to the limit, the larger one first."""
+        best: tuple[int, int] | None = None
+        for a in reversed(self.order[: bisect_right(self.order, limit)]):
+            if best and 2 * a <= sum(best):
+                break
+            if self.count[a] > need.get(a, 0):
+                b = self.largest(min(a, limit - a), {**need, a: need.get(a, 0) + 1})
+                if b is not None and (best is None or a + b > sum(best)):
+                    best = (a, b)
+                    if a + b == limit:
+                        break
+        return best
+
     def take(self, length: int, n: int) -> None:
         self.count[length] -= n
         if not self.count[length]:
@@ -172,21 +189,27 @@ class Lengths:
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of a bin (its lengths, largest first) with the number of such bins.
+    """Patterns of a bin (its lengths) with the number of such bins; the better of two ways to fill a gap."""
+    return min((fill(counts, capacity, two) for two in (False, True)), key=lambda found: sum(times for _, times in found))
+
+
+def fill(counts: dict[int, int], capacity: int, two: bool) -> list[tuple[tuple[int, ...], int]]:
+    """A bin starts with the largest document left and is filled by the best fit, again and again.
 
-    A bin starts with the largest document left. Where a second one above a third of the
-    capacity fits, the largest such is matched to it; then the gap takes the largest smaller
-    document that fits, again and again. Each step uses up a length or all but one of it,
-    so the patterns are few, however large the counts.
+    The best fit is the largest document that fits the gap, so that a document above a third
+    of the capacity is matched to the largest such one; with `two`, it is the larger one of
+    the two documents that together fill the gap better, if there are such. Each step uses up
+    a length or all but one of it, so the patterns are few, however large the counts.
     """
     left = Lengths({n: c for n, c in counts.items() if c})
     found: list[tuple[tuple[int, ...], int]] = []
     while left.order:
         pattern, need, gap = [], {}, capacity
         while gap:
-            n = left.best(gap)
-            while n is not None and left.count[n] <= need.get(n, 0):
-                n = left.best(n - 1)
+            n = left.largest(gap, need)
+            if n is not None and two and pattern and n < gap:
+                pair = left.best_two(gap, need)
+                n = pair[0] if pair and sum(pair) > n else n
             if n is None:
                 break
             pattern.append(n)

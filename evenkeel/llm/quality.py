@@ -43,6 +43,7 @@ TARGETS = ("low", "toxic")
 SHAPE = ("symbols", "capitals", "digits", "word_length", "repeats")
 LIMIT = 12.0
 PER_TARGET = 3
+SHORT = 10.0  # words at which the shape counts half
 STRONG = 1.5  # weight from which a word counts on its own
 COMPACT = "doc_id long, buckets binary, times binary, shape array<double>"
 
@@ -91,8 +92,9 @@ class Words:
         self.buckets, self.weights = buckets, weights.astype(np.float32)
 
 
-def evidence(buckets: pa.Array, times: pa.Array, shapes: pa.Array, known: Words, y: list[np.ndarray] | None = None) -> np.ndarray:
-    """One row per text: for each target the sum and the largest weight of its telling words and their mean, then its shape.
+def evidence(buckets: pa.Array, times: pa.Array, shapes: pa.Array, known: Words,
+             y: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each text and target the sum and the largest weight of its telling words and their mean, then its shape; and its words.
 
     Without labels the weights are those of all labelled documents, with labels those without a document of that label.
     """
@@ -114,7 +116,14 @@ def evidence(buckets: pa.Array, times: pa.Array, shapes: pa.Array, known: Words,
             np.maximum.at(out[:, PER_TARGET * k + 1], doc, value)
             out[:, PER_TARGET * k + 2] = np.bincount(doc, value * count, n) / total
     out[:, PER_TARGET * targets :] = np.array(shapes.to_pylist(), float).reshape(n, len(SHAPE))
-    return np.where((sizes > 0)[:, None], out, 0.0)
+    return np.where((sizes > 0)[:, None], out, 0.0), total / (1 + len(BEGINNINGS))
+
+
+def standard(x: np.ndarray, n: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised evidence of texts of n words; the shape of a few words says little, so it is shrunk toward the mean; nothing counts beyond 4."""
+    x = (x - mean) / scale
+    x[:, -len(SHAPE) :] = np.clip(x[:, -len(SHAPE) :], -4, 4) * (n / (n + SHORT))[:, None]
+    return x
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -128,7 +137,7 @@ class Model:
         self.weights, self.mean, self.scale, self.beta, self.prior = weights, mean, scale, beta, prior
 
     def logits(self, column: pa.Array) -> np.ndarray:
-        x = (evidence(*compact(column), self.weights) - self.mean) / self.scale
+        x = standard(*evidence(*compact(column), self.weights), self.mean, self.scale)
         z = np.clip(x @ self.beta[1:] + self.beta[0], -LIMIT, LIMIT)
         none = np.diff(text_bytes(column)[1]) == 0
         return np.where(none[:, None], np.log(self.prior / (1 - self.prior)), z)
@@ -199,11 +208,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(2 * features if beta is None else 2 * (p + p * p))
             for batch, y in parts(batches):
-                x = evidence(*(batch.column(c) for c in range(3)), weights, y)
+                x, n = evidence(*(batch.column(c) for c in range(3)), weights, y)
                 if beta is None:
                     total += np.concatenate([x.sum(0), (x * x).sum(0)])
                     continue
-                x = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], 1)
+                x = np.concatenate([np.ones((len(x), 1)), standard(x, n, mean, scale)], 1)
                 found = []
                 for k in range(2):
                     q = sigmoid(x @ beta[:, k])
