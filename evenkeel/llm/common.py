@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,3 +18,30 @@ def fresh(df: DataFrame, stem: str) -> str:
         n += 1
         name = f"{stem}_{n}"
     return name
+
+
+def hash_sample(df: DataFrame, by: Column, most: int) -> DataFrame:
+    """At most `most` rows of `df`, those whose hash of `by` is smallest; the same rows however `df` is partitioned.
+
+    Only about as many rows as asked for are sorted: the rest is filtered out by its hash first.
+    """
+    n = df.count()
+    h = fresh(df, "_hash")
+    rows = df.withColumn(h, F.xxhash64(by))
+    if n > 2 * most:
+        share = min(1.0, (1.5 * most + 100) / n)
+        rows = rows.where(F.col(h) < int(-(2**63) + share * 2**64) if share < 1 else F.lit(True))
+    return rows.orderBy(h).limit(most).drop(h)
+
+
+def best_rows(df: DataFrame, score: str, most: int, steps: int = 16) -> DataFrame:
+    """The rows with the largest `score`, at most `most`: whole steps of 1/`steps`, so that a count of steps is all the driver sees."""
+    step = F.floor(F.col(score) * steps)
+    counts = df.groupBy(step.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("s")).collect()
+    total, last = 0, None
+    for r in counts:
+        total += r["n"]
+        if total > most:
+            break
+        last = r["s"]
+    return df.where(step >= last) if last is not None else df.where(F.lit(False))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import hash_sample
 from .components import components
 
 SAMPLE = 10_000  # vectors that the rotation is learned on
@@ -109,7 +110,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int | N
     shapes = [r["d"] for r in classes.select(F.size("e").alias("d")).distinct().collect()]  # lengths of vectors: a handful
     learned = {}
     for d in shapes:
-        sample = classes.where(F.size("e") == d).select("e", F.xxhash64("e").alias("h")).orderBy("h").limit(SAMPLE).collect()
+        sample = hash_sample(classes.where(F.size("e") == d).select("e"), F.col("e"), SAMPLE).collect()
         learned[d] = learn(np.array([r["e"] for r in sample], np.float64))
     probes = masks(width, radius)
 

@@ -7,8 +7,8 @@ the query's components: full adders over bitmaps reduce the bitmaps of equal wei
 one is left per weight. The k best rows are then picked from the most significant slice
 downward, and rows that tie on the boundary are settled exactly by id.
 
-Queries and rows meet block by block: a row block is sent to every query block once, so no
-task holds more than one block of each and no pair of rows is ever written out. The best k
+Queries and rows meet block by block: a block's index, built once, is sent to every query
+block, so no task holds more than one block of each and no pair of rows is ever written out. The best k
 of each block are merged by a window over (query, score, id).
 
 Vectors that are null, empty, or hold a null or non-finite component take no part; nor do
@@ -63,6 +63,20 @@ class Index:
         self.low = low
         self.all = bits(np.ones(self.n, bool))
 
+    def pack(self) -> tuple[int, bytes, bytes, bytes]:
+        """Number of rows, smallest value and number of slices of each component, and the slices."""
+        return (self.n, self.low.astype("<i8").tobytes(), bytes(len(own) for own in self.slices),
+                b"".join(piece.tobytes() for own in self.slices for piece in own))
+
+    @classmethod
+    def unpack(cls, n: int, low: bytes, depths: bytes, slices: bytes) -> Index:
+        self = cls.__new__(cls)
+        self.n, self.low = n, np.frombuffer(low, "<i8")
+        self.all = bits(np.ones(n, bool))
+        pieces = iter(np.frombuffer(slices, np.uint64).reshape(-1, len(self.all)))
+        self.slices = [[next(pieces) for _ in range(depth)] for depth in depths]
+        return self
+
     def scores(self, query: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of (score - base), least significant first, and the base.
 
@@ -167,24 +181,30 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, rows_per_block: int
                 .select(name, F.transform("held", lambda s: s["vec_id"]).alias(f"{name}_ids"),
                         F.transform("held", lambda s: s["v"]).alias(f"{name}_vectors")))
 
-    # Every row block goes to every query block once: both are few, and neither side is collected.
-    left = blocked(rows, row_blocks, "r").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")))
-    right = blocked(queries, query_blocks, "q")
-    cells = left.join(right.hint("shuffle_hash"), "q").repartition(row_blocks * query_blocks, "r", "q")
-
     def matrix(vectors) -> np.ndarray:
         out = np.zeros((len(vectors), width), np.int64)
         for k_, v in enumerate(vectors):
             out[k_, : len(v)] = v
         return out
 
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r, ids, vectors in zip(batch["r"], batch["r_ids"], batch["r_vectors"], strict=True):
+                yield pd.DataFrame([(r, np.asarray(ids, np.int64).tobytes(), *Index(matrix(vectors)).pack())], columns=["r", "ids", "n", "low", "depths", "slices"])
+
+    # The index is built once and is smaller than the vectors. Every block of it goes to every
+    # query block once: both are few, and neither side is collected.
+    index = cut(blocked(rows, row_blocks, "r").mapInPandas(build, "r long, ids binary, n long, low binary, depths binary, slices binary"))
+    left = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")))
+    right = blocked(queries, query_blocks, "q")
+    cells = left.join(right.hint("shuffle_hash"), "q").repartition(row_blocks * query_blocks, "r", "q")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, index = None, None
         for batch in batches:
-            for r, ids, vectors, query_ids, query_vectors in zip(batch["r"], batch["r_ids"], batch["r_vectors"], batch["q_ids"], batch["q_vectors"], strict=True):
-                if last != r:
-                    last, index = r, Index(matrix(vectors))
-                parts = [(np.full(len(a), q), a, s) for q, a, s in search(np.asarray(ids), index, np.asarray(query_ids), matrix(query_vectors), k)]
+            for row in batch.itertuples():
+                found = search(np.frombuffer(row.ids, np.int64), Index.unpack(row.n, row.low, row.depths, row.slices),
+                               np.asarray(row.q_ids), matrix(row.q_vectors), k)
+                parts = [(np.full(len(a), q), a, s) for q, a, s in found]
                 yield pd.DataFrame({n: np.concatenate([p[c] for p in parts]) for c, n in enumerate(("query_id", "vec_id", "score"))})
 
     found = cells.mapInPandas(run, RESULT)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder
+from .common import hash_sample
 
 SKIPPABLE = 0x184D2A5D  # magic number of the dictionary frame
 FRAME = 0xFD2FB528
@@ -164,8 +165,7 @@ def train_dictionary(pages: DataFrame, html: str) -> bytes:
     import zstandard
 
     body = F.col(f"`{html}`").cast("binary")
-    rows = (pages.where(body.isNotNull()).select(F.xxhash64(body).alias("h"), F.substring(body, 1, SAMPLE_BYTES).alias("b"))
-            .orderBy("h").limit(SAMPLE_PAGES).collect())
+    rows = hash_sample(pages.where(body.isNotNull()).select(body.alias("all")), F.col("all"), SAMPLE_PAGES).select(F.substring("all", 1, SAMPLE_BYTES).alias("b")).collect()
     samples = [bytes(r["b"]) for r in rows if r["b"]]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
