@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import best_rows
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
@@ -229,8 +230,9 @@ def jaccard_groups(docs: DataFrame, size: int = 4, percent: int = 85, doc_id: st
     classes = (each.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2")
                .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = each.agg(F.sum("n")).first()[0] or 0
-    top = (found.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
-           .where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "token").limit(FREQUENT).collect())  # bounded
+    summary = cut(found.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
+                  .where(F.col("count") >= FREQUENT_FROM).withColumn("size", F.log2("count")))
+    top = best_rows(summary, "size", FREQUENT).select("token", "count").collect()  # FREQUENT rows at most
     frequent = np.array([r["token"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(frequent)
     weights = np.minimum(np.array([r["count"] for r in top], np.int64), 65_535).astype(np.uint16)[order]

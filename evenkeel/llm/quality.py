@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import fresh
+from .common import best_rows, fresh
 from .shingles import MARKS, SPACE, chunks, text_bytes, words
 
 BUCKETS = 1 << 22  # hashed words
@@ -185,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     counted = (sample.mapInArrow(count, "bucket long, n double, low double, toxic double").groupBy("bucket")
                .agg(*[F.sum(c).alias(c) for c in ("n", *TARGETS)]).where(F.col("n") >= LEAST)
-               .withColumn("z", F.greatest(*map(telling, TARGETS))).where(F.col("z") >= TELLING)
-               .orderBy(F.desc("z"), "bucket").limit(KEPT).drop("z").toPandas().sort_values("bucket"))  # KEPT rows at most
+               .withColumn("z", F.greatest(*map(telling, TARGETS))).where(F.col("z") >= TELLING))
+    counted = best_rows(cut(counted), "z", KEPT).drop("z").toPandas().sort_values("bucket")  # KEPT rows at most
 
     def weigh(name: str, label: int | None) -> np.ndarray:
         """Shrunk log ratios; without one document of the class `label`, if given."""
@@ -203,23 +203,31 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     features = PER_TARGET * len(TARGETS) + len(SHAPE)
     p = features + 1
 
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, y in parts(batches):
+            x, n = evidence(*(batch.column(c) for c in range(3)), weights, y)
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), pa.array(n, pa.float64()), *map(pa.array, y)], ["x", "n", "low", "toxic"])
+
+    # A dozen numbers for each labelled document are all that the passes of the fit read.
+    numbers = cut(sample.mapInArrow(describe, "x array<double>, n double, low double, toxic double"))
+
     def sums(mean: np.ndarray, scale: np.ndarray, beta: np.ndarray | None):
         """Sums over the labelled documents: of features and squares, or gradients and Hessians."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(2 * features if beta is None else 2 * (p + p * p))
-            for batch, y in parts(batches):
-                x, n = evidence(*(batch.column(c) for c in range(3)), weights, y)
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, features)
                 if beta is None:
                     total += np.concatenate([x.sum(0), (x * x).sum(0)])
                     continue
-                x = np.concatenate([np.ones((len(x), 1)), standard(x, n, mean, scale)], 1)
+                x = np.concatenate([np.ones((len(x), 1)), standard(x, batch.column(1).to_numpy(zero_copy_only=False), mean, scale)], 1)
                 found = []
                 for k in range(2):
                     q = sigmoid(x @ beta[:, k])
-                    found += [x.T @ (y[k] - q), ((x * (q * (1 - q))[:, None]).T @ x).ravel()]
+                    found += [x.T @ (batch.column(2 + k).to_numpy(zero_copy_only=False) - q), ((x * (q * (1 - q))[:, None]).T @ x).ravel()]
                 total += np.concatenate(found)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
-        got = sample.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")
+        got = numbers.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")
         return got["v"].to_numpy()
 
     moments = sums(np.zeros(features), np.ones(features), None).reshape(2, -1) / totals[0]
