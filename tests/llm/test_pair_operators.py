@@ -219,6 +219,7 @@ def test_blocks_of_a_page():
     page = ("<html><head><title>t</title><style>p{}</style><script>var t='</p>';</script></head><body><!-- c --><p>One &amp; <b>two</b>\n three<br>four<p>five"
             "<ul><li>a<li>b</ul><div hidden>no</div><p class='x'>cut &am")
     assert [b.text for b in html.blocks(page)] == ["One & two three four", "five", "a", "b", "cut &am"]
+    assert [b.text for b in html.blocks("<p title=it's>one</p><p title='a > b'>don't</p><a href=\"x>y\">z</a><p class=\"cut")] == ["one", "don't", "z"]
     assert html.blocks(None) == [] and html.blocks("") == [] and len(html.blocks("<p>x" * 20_000)) == 20_000
     assert [b.text for b in html.blocks("<b>" * 5_000 + "deep")] == ["deep"]
 
@@ -278,3 +279,15 @@ def test_pipeline_stages(spark):
     clean = {x.doc_id: x for x in pipeline.without_personal_data(spark, one, folder).collect()}
     assert clean[3].text == "write to [EMAIL] or [IP] today my friend" and clean[3].n_chars == len(clean[3].text) and clean[4].n_chars is None
     assert pipeline.packed(spark, one, folder).count() == 5
+
+
+def test_samples_and_best_rows_do_not_depend_on_partitions(spark):
+    from evenkeel.llm.common import best_rows, hash_sample
+
+    df = spark.range(5_000).withColumn("score", F.log2(F.col("id") + 1))
+    one, other = (sorted(r.id for r in hash_sample(df.repartition(n), F.col("id"), 100).collect()) for n in (1, 7))
+    assert one == other and len(one) == 100
+    assert hash_sample(df.limit(0), F.col("id"), 100).count() == 0 and hash_sample(df, F.col("id"), 9_000).count() == 5_000
+    top = [r.id for r in best_rows(df, "score", 700).collect()]
+    assert 400 < len(top) <= 700 and min(top) == 5_000 - len(top)
+    assert best_rows(df.limit(0), "score", 5).count() == 0
