@@ -29,7 +29,7 @@ from ..session import cut
 
 CAPACITY = 1024
 END_ID = 2
-CACHE_WORDS = 300_000  # entries of the word cache of a Python worker
+CACHE_WORDS = 200_000  # entries of the word cache of a Python worker
 ROWS_PER_BUCKET = 1_024
 
 SPECIAL = "<|endoftext|>"

@@ -282,10 +282,12 @@ def classify(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFra
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            parts = [model.logits(pa.array(s[at : at + 512].tolist(), pa.string())) for at in range(0, len(s), 512)]
+            batch = pa.RecordBatch.from_arrays([pa.array(s, pa.string(), from_pandas=True)], ["text"])
+            parts = [model.logits(part.column(0)) for part in chunks(batch, 0)]
             yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 2)), columns=list(TARGETS))
 
-    scored = F.pandas_udf(score, T.StructType().add("low", "double").add("toxic", "double"))
+    # marked so that a filter on the verdict does not make Spark score every text again
+    scored = F.pandas_udf(score, T.StructType().add("low", "double").add("toxic", "double")).asNondeterministic()
     host, path = site(docs)
     score_, host_, path_, post_ = (fresh(docs, n) for n in ("_score", "_host", "_path", "_site"))
     rows = docs.withColumn(score_, scored(F.col("text"))).withColumn(host_, host).withColumn(path_, path)

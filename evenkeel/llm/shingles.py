@@ -58,11 +58,9 @@ def words(column: pa.Array, between: np.ndarray = SPACE, beginnings: tuple[int,
     counts = np.diff(np.searchsorted(starts, at))
     if not len(starts):
         return np.zeros((parts, 0) if beginnings else 0, np.uint64), counts
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else None
-    if place is None:
-        raw, inside = raw[starts[0] :], inside[starts[0] :]
-        starts = starts - starts[0]
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))
+    raw, inside = raw[starts[0] :], inside[starts[0] :]
+    starts = starts - starts[0]
+    place = np.arange(len(raw), dtype=np.int32) - np.repeat(starts.astype(np.int32), np.diff(np.append(starts, len(raw))))
     place[~inside] = 0
     values = BYTES[LOWER[raw]] * powers(int(place.max()) + 1)[place]
     values[~inside] = 0
@@ -101,7 +99,7 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), sizes
 
 
-def chunks(batch: pa.RecordBatch, text: int, most: int = 4 << 20, rows: int = 512):
+def chunks(batch: pa.RecordBatch, text: int, most: int = 1 << 20, rows: int = 512):
     """Slices of a batch with at most `rows` rows and about `most` bytes of text, one row at least."""
     sizes = np.diff(text_bytes(batch.column(text))[1])
     start = total = 0
