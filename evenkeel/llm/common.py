@@ -45,3 +45,16 @@ def best_rows(df: DataFrame, score: str, most: int, steps: int = 16) -> DataFram
             break
         last = r["s"]
     return df.where(step >= last) if last is not None else df.where(F.lit(False))
+
+
+def give_back() -> None:
+    """Return freed memory to the system; called where a task ends, as Python workers live on for later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only glibc has it
+        pass

@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import best_rows
+from .common import best_rows, give_back
 from .components import components
 from .shingles import chunks, mix, shingle_sets
 
 ORDERS = 3
-TOKENS_PER_RANGE = 1_500_000  # expected tokens of a hash range, which is one group in a task
+TOKENS_PER_RANGE = 600_000  # expected tokens of a hash range, which is one group in a task
 SUMMARY, FREQUENT = 4_096, 32_768  # entries of a task's summary and of the merged one
 FREQUENT_FROM = 256  # documents from which a token may count as frequent
 BLOCK = 256  # documents of a block in the last round
@@ -98,6 +98,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), nothing, nothing],
                     ["doc_id", "n", "s1", "s2", "token", "count"])
+        give_back()
         nothing = pa.nulls(len(ids), pa.int64())
         yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.array(ids.view(np.int64)), pa.array(sums)],
                                          ["doc_id", "n", "s1", "s2", "token", "count"])
@@ -133,6 +134,7 @@ def dealt(docs: DataFrame, size: int, ranges: int, frequent: np.ndarray, weights
                     out.append((b, int(places[s]), False, d[change].tobytes(), np.diff(np.append(change, e - s)).astype(np.uint32).tobytes(),
                                 five(low[rest[s:e]]), b""))
                 yield rows_of(out)
+        give_back()
     return docs.mapInArrow(run, DEALT)
 
 
@@ -160,6 +162,7 @@ def count_range(table: pa.Table) -> pa.Table:
                 of = np.repeat(np.arange(len(docs)), np.frombuffer(r["counts"], np.uint32))
                 count = np.bincount(of[keep], minlength=len(docs)).astype(np.uint32)
                 out.append((r["b"], r["p"], False, docs[count > 0].tobytes(), count[count > 0].tobytes(), five(own[keep]), weight[keep].tobytes()))
+    give_back()
     return pa.Table.from_batches([rows_of(out)])
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import give_back
 
 CAPACITY = 1024
 END_ID = 2
@@ -149,6 +150,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: t
                 if ids:
                     arrays, names = [*arrays, pa.array(tokens, pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        give_back()
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
     return rows.mapInArrow(run, PIECES + ", ids array<int>" * ids)

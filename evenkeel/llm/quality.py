@@ -4,8 +4,8 @@ Two verdicts per document, low quality and toxic, each from two levels of eviden
 
 * The document: a naive Bayes score over hashed words, on the share of each word's presence
   in labelled documents of either class, and a few numbers about the text's shape; a
-  logistic fit on the labelled documents calibrates them. The fit uses all labelled
-  documents and works on class counts and sufficient sums that Spark aggregates.
+  logistic fit on the labelled documents calibrates them. The fit uses at most
+  `LABELLED` labelled documents and works on class counts and sufficient sums that Spark aggregates.
 * The site: `source` is read as host and path. The mean of the documents' probabilities of
   a host is shrunk toward the global mean, and that of a path (with the language) toward
   its host's, with strengths that the method of moments finds from how much sites differ
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import best_rows, fresh
+from .common import best_rows, fresh, give_back, hash_sample
 from .shingles import MARKS, SPACE, chunks, text_bytes, words
 
 BUCKETS = 1 << 22  # hashed words
+LABELLED = 20_000  # labelled documents that the fit uses at most, those with the smallest hashes
 KEPT = 1 << 16  # telling words at most; fixes the size of the model
 LEAST, TELLING = 3, 4.0  # labelled documents that a telling word is in, and the root of its likelihood ratio statistic
 BEGINNINGS = (4, 5)  # first bytes of words that count like words, so that forms of a word share evidence
@@ -45,7 +46,7 @@ LIMIT = 12.0
 PER_TARGET = 3
 SHORT = 10.0  # words at which the shape counts half
 STRONG = 1.5  # weight from which a word counts on its own
-COMPACT = "doc_id long, buckets binary, times binary, shape array<double>"
+COMPACT = "buckets binary, times binary, shape array<double>, low double, toxic double"
 
 
 def distinct_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,17 +145,20 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on all labelled documents; None if a class is missing."""
+    """Fit on the labelled documents, at most `LABELLED` of them; None if a class is missing."""
     known = (labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id")
              .agg((1 - F.avg("quality")).alias("low"), F.avg("toxic").alias("toxic")).where("low IS NOT NULL AND toxic IS NOT NULL"))
+    known = hash_sample(cut(known), F.col("doc_id"), LABELLED)
+
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0), *compact(batch.column(1))], ["doc_id", "buckets", "times", "shape"])
+            for batch in chunks(whole, 0):
+                yield pa.RecordBatch.from_arrays([*compact(batch.column(0)), batch.column(1), batch.column(2)], ["buckets", "times", "shape", "low", "toxic"])
+        give_back()
 
-    # Only the hashed words of the texts meet the labels, not the texts.
-    small = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(squeeze, COMPACT)
-    sample = cut(small.join(known, "doc_id").select("buckets", "times", "shape", "low", "toxic"))
+    # Three numbers for each of at most LABELLED documents, half a megabyte, go to the texts.
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    sample = cut(texts.join(F.broadcast(known), "doc_id").select("text", "low", "toxic").mapInArrow(squeeze, COMPACT))
     totals = sample.agg(F.count("*").alias("n"), *[F.sum(t).alias(t) for t in TARGETS]).first()
     if not totals[0] or min(totals[1], totals[2]) <= 0 or max(totals[1], totals[2]) >= totals[0]:
         return None
@@ -285,6 +289,7 @@ def classify(docs: DataFrame, labels: DataFrame, reject: float = 0.5) -> DataFra
             batch = pa.RecordBatch.from_arrays([pa.array(s, pa.string(), from_pandas=True)], ["text"])
             parts = [model.logits(part.column(0)) for part in chunks(batch, 0)]
             yield pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 2)), columns=list(TARGETS))
+        give_back()
 
     # marked so that a filter on the verdict does not make Spark score every text again
     scored = F.pandas_udf(score, T.StructType().add("low", "double").add("toxic", "double")).asNondeterministic()
