@@ -3,9 +3,12 @@
 A rotation is learned on a bounded sample so that the signs of the rotated components make
 balanced codes of 64 bits. The code is cut into equal parts, one hash table each; vectors of
 the same label whose parts differ in at most `radius` bits share a bucket. Candidates of a
-bucket are compared on their original vectors in double precision. By default 8 tables of 8
-bits with radius 0 serve small inputs, 4 of 16 with radius 1 large ones; either finds every
-pair of codes within 7 bits, and most pairs farther apart.
+bucket are compared on their original vectors in double precision. At every size of input at
+least 8 tables of 8 bits serve, which find every pair of codes within 7 bits and most pairs
+farther apart. The sample's vectors are paired with made ones right at the threshold; if more
+than `MISS` of these pairs would be missed, 8 more tables cut the code along another order of
+its bits, and so on. Where `TABLES` tables do not reach that, as with vectors that hardly
+differ from their mean, all vectors of a label meet and no link is lost.
 
 Equal vectors of a label are one class with a size, so copies never meet in a bucket. A
 bucket is dealt into blocks by its counted size, and each pair of blocks is a task's row of
@@ -35,7 +38,9 @@ SAMPLE = 10_000  # vectors that the rotation is learned on
 BITS = 64
 ROUNDS = 30
 BLOCK = 1_024  # classes of a bucket that stay together
-MANY = 1 << 20  # classes from which the finer tables serve
+MISS = 0.001  # wanted share of missed pairs right at the threshold
+PAIRS = 10_000  # pairs made to estimate that share
+TABLES = 64
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -70,6 +75,37 @@ def masks(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(width), k)], np.uint64)
 
 
+def layout(tables: int, width: int) -> np.ndarray:
+    """The bits of each table; every order of the bits after the first is drawn and serves BITS // width tables."""
+    r = np.random.default_rng(5)
+    each = BITS // width
+    orders = [np.arange(BITS), *(r.permutation(BITS) for _ in range(-(-tables // each) - 1))]
+    return np.concatenate([o[: each * width].reshape(each, width) for o in orders])[:tables]
+
+
+def selected(bits: np.ndarray) -> np.ndarray:
+    """A mask for each table."""
+    return np.array([sum(1 << int(b) for b in own) for own in bits], np.uint64)
+
+
+def enough(sample: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float) -> np.ndarray:
+    """Bits of as few tables of 8 bits as miss at most `MISS` of pairs at the threshold; one table of no bits if `TABLES` miss more."""
+    r = np.random.default_rng(3)
+    u = unit(np.resize(sample, (PAIRS, sample.shape[1])))
+    t = min(1.0, max(-1.0, threshold))
+    apart = []
+    for w in (r.normal(size=u.shape), u[r.permutation(len(u))]):  # apart by noise, and towards another vector
+        w = w - (w * u).sum(1, keepdims=True) * u
+        some = np.linalg.norm(w, axis=1) > 1e-6
+        if some.any():
+            apart.append(codes(u[some], mean, projection) ^ codes(t * u[some] + (1 - t * t) ** 0.5 * unit(w[some]), mean, projection))
+    for tables in range(8, TABLES + 1, 8):
+        bits = layout(tables, 8)
+        if all((x[:, None] & selected(bits) != 0).all(1).mean() <= MISS for x in apart):
+            return bits
+    return np.zeros((1, 0), np.int64)
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links."""
     top = list(range(n))
@@ -104,36 +140,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int | N
     alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not n:
         return alone
-    if tables is None or radius is None:
-        tables, radius = (8, 0) if n < MANY else (4, 1)
-    width = BITS // tables
     shapes = [r["d"] for r in classes.select(F.size("e").alias("d")).distinct().collect()]  # lengths of vectors: a handful
-    learned = {}
+    given = tables is not None and radius is not None
+    radius = radius if given else 0
+    learned, probes = {}, {}
     for d in shapes:
         sample = hash_sample(classes.where(F.size("e") == d).select("e"), F.col("e"), SAMPLE).collect()
-        learned[d] = learn(np.array([r["e"] for r in sample], np.float64))
-    probes = masks(width, radius)
+        x_ = np.array(sorted(r["e"] for r in sample), np.float64)
+        learned[d] = learn(x_)
+        bits = layout(tables, BITS // min(tables, 8)) if given else enough(x_, *learned[d], threshold)
+        flips = masks(bits.shape[1], radius)
+        probes[d] = selected(bits), np.array([[sum(1 << int(b) for k, b in enumerate(own) if int(f) >> k & 1) for f in flips] for own in bits], np.uint64)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = np.uint64((1 << width) - 1)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 vectors_ = batch.column(1).to_pylist()
-                sizes = np.array([len(v) for v in vectors_])
-                code = np.zeros(len(vectors_), np.uint64)
-                for d in np.unique(sizes).tolist():
-                    own = np.flatnonzero(sizes == d)
-                    code[own] = codes(np.array([vectors_[i] for i in own], np.float64), *learned[d])
-                take = np.repeat(np.arange(len(code)), tables * len(probes))
-                t = np.tile(np.repeat(np.arange(tables), len(probes)), len(code))
-                bits = (code[take] >> (t * width).astype(np.uint64)) & part
-                probe = np.tile(probes, tables * len(code))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(take)), batch.column(2).take(pa.array(take)), batch.column(3).take(pa.array(take)),
-                     batch.column(1).take(pa.array(take)), pa.array(code[take].view(np.int64)), pa.array(t.astype(np.int32)),
-                     pa.array((bits ^ probe).astype(np.int64)), pa.array(probe == 0)],
-                    ["label", "rep", "copies", "e", "code", "t", "value", "home"])
+                lengths = np.array([len(v) for v in vectors_])
+                for d in np.unique(lengths).tolist():
+                    own = np.flatnonzero(lengths == d)
+                    code = codes(np.array([vectors_[i] for i in own], np.float64), *learned[d])
+                    parts, flips = probes[d]
+                    value = ((code[:, None] & parts)[:, :, None] ^ flips).reshape(-1)
+                    take, code = pa.array(np.repeat(own, flips.size)), np.repeat(code, flips.size)
+                    t = np.tile(np.repeat(np.arange(len(parts), dtype=np.int32), flips.shape[1]), len(own))
+                    home = np.tile((flips == 0).reshape(-1), len(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), batch.column(1).take(take),
+                         pa.array(code.view(np.int64)), pa.array(t), pa.array(value.view(np.int64)), pa.array(home)],
+                        ["label", "rep", "copies", "e", "code", "t", "value", "home"])
 
     schema = (f"label {classes.schema['label'].dataType.simpleString()}, rep long, copies long, e {classes.schema['e'].dataType.simpleString()}, "
               "code long, t int, value long, home boolean")
@@ -151,7 +187,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int | N
              .where(F.size("m") > 1).select("t", "i", "j", "m"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = np.uint64((1 << width) - 1)
         for whole in batches:
             counts: list[np.ndarray] = []
             links: list[tuple[int, int]] = []
@@ -160,6 +195,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int | N
                 rep, copies, code, home, own = (rows_.field(k).to_numpy(zero_copy_only=False) for k in range(5))
                 flat = rows_.field(5)
                 x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rep), -1)
+                parts = probes[x.shape[1]][0]
                 x = unit(x)
                 code = code.view(np.uint64)
                 order = np.arange(len(rep))
@@ -176,7 +212,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int | N
                     apart = code[p] ^ code[q]
                     earlier = np.zeros(len(p), bool)  # found by a table before this one
                     for k in range(t):
-                        earlier |= np.bitwise_count((apart >> np.uint64(k * width)) & part) <= radius
+                        earlier |= np.bitwise_count(apart & parts[k]) <= radius
                     p, q = p[~earlier], q[~earlier]
                     counts += [np.stack([rep[p], copies[q]]), np.stack([rep[q], copies[p]])]
                     links += [(int(rep[u]), int(rep[v])) for u, v in forest(len(rep), p, q)]

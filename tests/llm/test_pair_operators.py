@@ -157,6 +157,24 @@ def test_vector_links_equal_brute_force(spark, tables, radius):
     assert hamming.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("common", "least"), [(0.0, 0.998), (0.2, 0.998), (50.0, 1.0)])
+def test_links_at_the_threshold_are_found_at_every_size(spark, monkeypatch, common, least):
+    """Pairs at cosine 0.98 to 0.982, also of vectors with a common mean; `MANY` once switched to a setting that lost more of them."""
+    monkeypatch.setattr(hamming, "MANY", 1, raising=False)
+    r = np.random.default_rng(8)
+    u = hamming.unit(r.normal(size=(1_500, 64)) + common)
+    w = r.normal(size=u.shape)
+    w = hamming.unit(w - (w * u).sum(1, keepdims=True) * u)
+    c = r.uniform(0.98001, 0.982, (len(u), 1))
+    rows = np.concatenate([u, c * u + np.sqrt(1 - c * c) * w])
+    label = np.arange(len(rows)) % 5
+    df = spark.createDataFrame([(k, v.tolist(), int(y)) for k, (v, y) in enumerate(zip(rows, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = sum(x.n_links for x in hamming.near_duplicates(df).collect())
+    near = (rows @ rows.T >= 0.98) & (label[:, None] == label)
+    want = int(near.sum()) - len(rows)
+    assert want >= 2 * 1_500 and least * want <= got <= want, (got, want)
+
+
 def test_top_k_equals_brute_force(spark):
     rows, df = vectors(spark)
     whole = topk.quantised(df)
