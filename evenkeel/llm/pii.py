@@ -5,7 +5,9 @@ From each anchor a local parser expands to the boundaries and validates what it
 that plain text is walked once and no pattern is tried at places without an anchor.
 
 Base kinds (fixed by contract): email, ip, card, phone. Added kinds: iban (mod-97 checked),
-login (user and secret inside a URL), secret (a cue such as `password=` with its value).
+login (user and secret inside a URL), secret (a cue such as `password=` or `"password": ` with
+its value). Users, secrets and values may have any length; the runs read from two anchors
+do not overlap, so that long ones stay linear.
 Offsets are code points, ends exclusive. Null and empty texts have no spans; every row is
 kept, with repeated rows treated alike; other columns are passed on untouched.
 """
@@ -34,8 +36,8 @@ IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"[ ().0-9-]*[0-9]")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-LOGIN = re.compile(r"[^\s/@:\"'<>]{1,256}:[^\s/@\"'<>]{1,256}@[A-Za-z0-9.-]{1,253}")
-SECRET = re.compile(r"\s{0,4}[=:]\s{0,4}[\"']?([A-Za-z0-9_\-+/.]{8,256})")
+LOGIN = re.compile(r"[^\s/@:\"'<>]++:[^\s/@\"'<>]++@[A-Za-z0-9.-]++")
+SECRET = re.compile(r"[\"']?\s*+[=:]\s*+[\"']?([A-Za-z0-9_\-+/.]{8,}+)")
 
 
 @lru_cache(maxsize=1)

@@ -50,6 +50,16 @@ def test_added_spans_and_masking():
     assert pii.scan("9" * 100_000) == [] and len(pii.scan("a@b.c " * 50_000)) == 50_000
 
 
+def test_long_secrets_are_whole_and_cues_may_be_quoted():
+    value = "aB3-" * 1_500
+    assert pii.mask(f"token={value}. rest") == "token=[SECRET] rest"
+    assert pii.scan(f"x token={value}") == [(8, 8 + len(value), "secret")]
+    assert pii.mask(f"https://{'u' * 3_000}:{'p' * 3_000}@host.org/x") == "[LOGIN]/x"
+    assert pii.mask('{"password": "abc12345", \'token\' : \'xyz98765\'}') == '{"password": "[SECRET]", \'token\' : \'[SECRET]\'}'
+    assert pii.mask("password" + " " * 40 + "=" + " " * 40 + "abc12345") == "password" + " " * 40 + "=" + " " * 40 + "[SECRET]"
+    assert pii.scan("token=" + "token" * 100_000) == [] and pii.scan("token" + " " * 500_000) == [] and pii.scan("a://b:" * 100_000) == []
+
+
 def test_span_report_and_redaction_keep_rows(spark):
     docs = rows(spark, (1, "x a@b.co"), (1, "x a@b.co"), (None, None), (2, ""))
     got = pii.span_report(docs).orderBy("doc_id").collect()
