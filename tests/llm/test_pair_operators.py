@@ -242,6 +242,17 @@ def test_blocks_of_a_page():
     assert [b.text for b in html.blocks("<b>" * 5_000 + "deep")] == ["deep"]
 
 
+def test_paths_are_whole_under_many_class_words():
+    many = " ".join("".join(chr(97 + (k // d) % 26) for d in (1, 26)) + "q" for k in range(30))
+    page = f'<nav class="{many}"><div class="{many} zz"><ul class="{many}"><li class="{many}"><a href=x class="{many}">one<p class="{many}">two</p></a></ul></div></nav><p>three'
+    got = html.blocks(page)
+    assert [b.text for b in got] == ["one", "two", "three"] and all({"nav", "div", "ul", "li", "a"} <= {*b.path} for b in got[:2])
+    assert got[1].linked == 3 and got[2].path == ("p",) and all(len({*b.path}) == len(b.path) for b in got)
+    deep = html.blocks("<article><p>in</p>" + "<div>" * 300 + "far" + "</div>" * 300 + "</article><p>out")
+    assert [("article" in b.path) for b in deep] == [True, True, False] and deep[2].path == ("p",)
+    assert [b.path for b in html.blocks("<p><li>" + "<b>" * 50_000 + "<h1>" * 50_000 + "</i>" * 50_000 + "x")] == [("p", "li", "h1")]
+
+
 def test_gradients_are_right():
     draw = html.Layouts([], 3)
     pages = [draw.page() for _ in range(3)]
