@@ -128,7 +128,7 @@ def dealt(docs: DataFrame, size: int, ranges: int, frequent: np.ndarray, weights
                 rest = rest[np.argsort(p[rest], kind="stable")]
                 places = p[rest]
                 edges = np.flatnonzero(np.diff(places, prepend=-1))
-                for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(rest)], strict=True):
+                for s, e in zip(edges.tolist(), [*edges.tolist()[1:], len(rest)], strict=False):
                     d = doc[rest[s:e]]
                     change = np.flatnonzero(np.diff(d.astype(np.int64), prepend=-1))
                     out.append((b, int(places[s]), False, d[change].tobytes(), np.diff(np.append(change, e - s)).astype(np.uint32).tobytes(),

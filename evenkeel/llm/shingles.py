@@ -79,7 +79,7 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(counts)
     n = len(h)
     g = np.zeros(n, np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         g[: n - k] += h[k:] * PLACES[k]
     g = mix(g, 1)
     out, sizes = [], np.zeros(len(counts), np.int64)

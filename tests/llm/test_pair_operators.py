@@ -62,6 +62,26 @@ def test_shingle_sets_equal_plain_sets():
                 assert len(np.intersect1d(own[i], own[j])) == len(set_of(texts[i], size) & set_of(texts[j], size)), (texts[i], texts[j])
 
 
+@pytest.mark.parametrize("size", range(1, 9))
+def test_batches_of_few_words_have_sets(size):
+    for total in range(size + 3):
+        for texts in ([" ".join("ab"[k % 2] for k in range(total))], [None, "a " * (total // 2), "", "b " * (total - total // 2), " "], ["c"] * total, ["", None]):
+            flat, sizes = shingles.shingle_sets(pa.array(texts, pa.string()), size)
+            assert sizes.tolist() == [len(set_of(t, size)) for t in texts] and len(flat) == sizes.sum()
+
+
+def test_tables_of_short_texts_are_grouped(spark):
+    texts = ["two words", "Two  words", "one", "", None, "a b c", "a b c d", "a b c d e", "a B c d e", "one two", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size, percent in ((4, 85), (5, 80)):
+        for part in (df, df.repartition(11, "doc_id"), df.where("doc_id = 0")):
+            got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(part, size, percent).collect()}
+            first: dict = {}
+            for i in sorted(got):
+                own = frozenset(set_of(texts[i], size))
+                assert got[i] == (len(own), first.setdefault(own, i) if own else i)
+
+
 def near_texts():
     r = random.Random(4)
     vocabulary = [f"w{k}" for k in range(4000)]
