@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, hamming, html, jaccard, packing, pii, quality, sentencepiece, topk, warc
+from . import chat, hamming, html, infilling, interactions, jaccard, language, packing, pii, quality, sentencepiece, topk, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,58 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.format_chats(rows))
+
+
+@query("op11_fenwick_infilling", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents),
+h AS (
+  SELECT *, ('0x' || substr(hex, 1, 8))::BIGINT % (n + 1) AS h1, ('0x' || substr(hex, 9, 8))::BIGINT % (n + 1) AS h2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(hex, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || substr(hex, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (SELECT doc_id, t, n, form, least(h1, h2)::BIGINT AS a, greatest(h1, h2)::BIGINT AS b FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+                        WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                        ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return infilling.report(table(spark, folder, "documents"))
+
+
+@query("op12_removal_potential", r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+said AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         [len(w) < 50, 100 * list_unique(w) < 65 * len(w), 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM w LEFT JOIN said ON w.doc_id = said.doc_id),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS places
+  FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+met AS (
+  SELECT part, good, toxic, fails, filter_order, places,
+         coalesce(list_position(list_transform(places, lambda p: fails[p]), true), 6) AS gone
+  FROM f, orders),
+steps AS (
+  SELECT part, filter_order, step::INT AS step, places[step] AS own,
+         count(*) FILTER (gone > step)::BIGINT AS kept, count(*) FILTER (gone = step)::BIGINT AS removed,
+         count(*) FILTER (gone < step AND fails[places[step]])::BIGINT AS redundant,
+         count(*) FILTER (fails[places[step]] AND len(list_filter(fails, lambda x: x)) = 1)::BIGINT AS unique_fails,
+         count(*) FILTER (gone = step AND good)::BIGINT AS good_lost, count(*) FILTER (gone = step AND toxic)::BIGINT AS toxic_lost
+  FROM met, range(1, 6) s(step) GROUP BY part, filter_order, step, places)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM steps
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return interactions.audit(interactions.failures(table(spark, folder, "documents"), table(spark, folder, "labels")))
+
+
+@query("op13_compression_language_id")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return language.report(table(spark, folder, "documents"))
