@@ -129,24 +129,6 @@ def test_permutation_keeps_groups(spark):
     assert p.groupBy("replicate").agg(F.countDistinct("v").alias("d")).filter("d <> 30").count() == 0
 
 
-def test_assignment_is_optimal():
-    rng = np.random.default_rng(0)
-    for _ in range(20):
-        n, m = int(rng.integers(1, 5)), int(rng.integers(5, 7))
-        cost = rng.random((n, m))
-        i, j = matching.assign(cost)
-        best = min(sum(cost[a, p[a]] for a in range(n)) for p in itertools.permutations(range(m), n))
-        assert len(i) == n and cost[i, j].sum() == pytest.approx(best)
-
-
-def test_caliper_prefers_more_pairs():
-    profile = np.array([[0.01, 0.04], [0.03, 9.0]])
-    i, j = matching.best_pairs(profile, np.zeros((2, 2)), 0.25)
-    assert sorted(zip(i, j)) == [(0, 1), (1, 0)]
-    i, _ = matching.best_pairs(np.full((2, 2), 9.0), np.zeros((2, 2)), 0.25)
-    assert len(i) == 0
-
-
 def test_ridge_paths_agree(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(60, 6))
@@ -182,3 +164,14 @@ def test_balanced_split_is_owner_pure_and_balanced(spark):
     per = split.groupBy("family").pivot("half", ["discovery", "validation"]).count().collect()
     assert all(abs(r["discovery"] - r["validation"]) <= 12 for r in per)
     assert split.exceptAll(population.balanced_owner_split(people.repartition(3), 3)).count() == 0
+
+
+def test_audit_settings_are_checked():
+    from evenkeel.plans.audit import AuditConfig
+
+    AuditConfig().check()
+    with pytest.raises(ValueError, match="anchor_fraction=1.5.*resamples=0"):
+        AuditConfig(anchor_fraction=1.5, resamples=0).check()
+    for bad in ({"dimensions": ()}, {"owner_cap": -1}, {"gap_pp": float("nan")}, {"dif_cycles": 0}):
+        with pytest.raises(ValueError):
+            AuditConfig(**bad).check()
