@@ -7,13 +7,15 @@ the query's components: full adders over bitmaps reduce the bitmaps of equal wei
 one is left per weight. The k best rows are then picked from the most significant slice
 downward, and rows that tie on the boundary are settled exactly by id.
 
-Queries and rows meet block by block: a block's index, built once, is sent to every query
-block, so no task holds more than one block of each and no pair of rows is ever written out. The best k
-of each block are merged by a window over (query, score, id).
+Queries and rows meet block by block: the index of a block of rows, built once, stays where it is
+(or goes to a few tasks, where blocks are fewer than `TASKS`), and the packed queries, a fraction of
+the rows, are sent to every block. No task holds more than one block of each at a time and no pair of
+rows is ever written out. The best k of each block are merged by a window over (query, score, id).
 
 Vectors that are null, empty, or hold a null or non-finite component take no part; nor do
-rows with a null id. Shorter vectors count as padded with zeros. Scores are exact while they
-fit 62 bits; components beyond 2**24 in size after scaling are set to it. Repeated rows are
+rows with a null id. Shorter vectors count as padded with zeros. Scores are added up without
+bound on their bits and the order is exact; a score that no long can hold is shown as the nearest
+long. Components beyond 2**56 in size after scaling are set to it. Repeated rows are
 rows of their own, except that no row is a candidate for a query of the same id. Empty
 tables give no rows.
 """
@@ -32,8 +34,10 @@ from pyspark.sql import Window as W
 from ..session import cut
 
 ROWS_PER_BLOCK, QUERIES_PER_BLOCK = 1 << 15, 256
-LARGEST = 1 << 24
-RESULT = "query_id long, vec_id long, score long"
+LARGEST = 1 << 56
+TASKS = 64  # meetings are dealt to at least so many tasks, if there are as many
+LOW = 62  # bits of the lower part of a score
+RESULT = "query_id long, vec_id long, high long, low long"
 
 
 def bits(rows: np.ndarray) -> np.ndarray:
@@ -83,7 +87,7 @@ class Index:
         A negative weight adds the complement of a slice: -w*s = w*(1-s) - w.
         """
         columns: list[list[np.ndarray]] = []
-        base = int(query @ self.low)
+        base = sum(q * v for q, v in zip(query.tolist(), self.low.tolist(), strict=True))
         for weight, own in zip(query.tolist(), self.slices, strict=True):
             size_, negative = abs(weight), weight < 0
             for b, piece in enumerate(own):
@@ -130,7 +134,7 @@ class Index:
         return sure, tied
 
 
-def search(ids: np.ndarray, index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(ids: np.ndarray, index: Index, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, list[int]]]:
     """For each query: its id, the ids of its best rows in the block, and their scores."""
     for qid, query in zip(query_ids.tolist(), queries, strict=True):
         slices, base = index.scores(query)
@@ -143,10 +147,9 @@ def search(ids: np.ndarray, index: Index, query_ids: np.ndarray, queries: np.nda
         sure, tied = index.top(slices, allowed, k)
         found = marked(sure)
         found = np.concatenate([found, marked(tied)[: k - len(found)]])  # ids ascend: ties go to the smaller one
-        score = np.full(len(found), base, np.int64)
-        for b, piece in enumerate(slices):
-            score += ((piece[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << b
-        yield qid, ids[found], score
+        bit = [(piece[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1) for piece in slices]
+        parts = [sum((x.astype(np.int64) << b for b, x in enumerate(bit[at : at + 60])), np.zeros(len(found), np.int64)).tolist() for at in range(0, len(bit), 60)]
+        yield qid, ids[found], [base + sum(p << 60 * i for i, p in enumerate(row)) for row in zip(*parts, strict=True)] if parts else [base] * len(found)
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -155,7 +158,7 @@ def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embe
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     top = F.lit(LARGEST).cast("long")
     whole = F.transform(x, lambda e: F.greatest(-top, F.least(top, F.floor(e * F.lit(scale)))))
-    return (vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.when(x.isNotNull() & (F.size(x) > 0) & finite, whole.cast("array<int>")).alias("v"))
+    return (vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.when(x.isNotNull() & (F.size(x) > 0) & finite, whole.cast("array<bigint>")).alias("v"))
             .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()))
 
 
@@ -192,22 +195,26 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, rows_per_block: int
             for r, ids, vectors in zip(batch["r"], batch["r_ids"], batch["r_vectors"], strict=True):
                 yield pd.DataFrame([(r, np.asarray(ids, np.int64).tobytes(), *Index(matrix(vectors)).pack())], columns=["r", "ids", "n", "low", "depths", "slices"])
 
-    # The index is built once and is smaller than the vectors. Every block of it goes to every
-    # query block once: both are few, and neither side is collected.
+    # Of the two sides only the queries are sent around.
     index = cut(blocked(rows, row_blocks, "r").mapInPandas(build, "r long, ids binary, n long, low binary, depths binary, slices binary"))
-    left = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")))
-    right = blocked(queries, query_blocks, "q")
-    cells = left.join(right.hint("shuffle_hash"), "q").repartition(row_blocks * query_blocks, "r", "q")
+    copies = min(query_blocks, max(1, -(-TASKS // row_blocks)))
+    left = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)).cast("array<bigint>")))
+    right = (blocked(queries, query_blocks, "q").withColumn("g", F.col("q") % copies)
+             .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<bigint>"))))
+    cells = right.repartition(min(row_blocks * copies, 4096), "r", "g").join(left.hint("shuffle_hash"), ["r", "g"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 found = search(np.frombuffer(row.ids, np.int64), Index.unpack(row.n, row.low, row.depths, row.slices),
                                np.asarray(row.q_ids), matrix(row.q_vectors), k)
-                parts = [(np.full(len(a), q), a, s) for q, a, s in found]
-                yield pd.DataFrame({n: np.concatenate([p[c] for p in parts]) for c, n in enumerate(("query_id", "vec_id", "score"))})
+                parts = [(np.full(len(a), q), a, [x >> LOW for x in s], [x & ((1 << LOW) - 1) for x in s]) for q, a, s in found]
+                yield pd.DataFrame({n: np.concatenate([np.asarray(p[c], np.int64) for p in parts]) for c, n in enumerate(("query_id", "vec_id", "high", "low"))})
 
     found = cells.mapInPandas(run, RESULT)
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = W.partitionBy("query_id").orderBy(F.col("high").desc(), F.col("low").desc(), "vec_id")
+    least, most = F.lit(-(2**63)).cast("long"), F.lit(2**63 - 1)
+    score = (F.when(F.col("high") > 1, most).when(F.col("high") < -2, least)
+             .otherwise(F.call_function("shiftleft", F.col("high"), F.lit(LOW)).bitwiseOR(F.col("low"))))
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", score.alias("score")))

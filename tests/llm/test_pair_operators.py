@@ -211,6 +211,22 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(whole.limit(0), whole, k=7).count() == 0
 
 
+def test_scores_of_large_components_are_exact(spark):
+    r = random.Random(2)
+    rows = [(1, [300_000.0, 0.0]), (2, [400_000.0, 0.0]), (0, [1.0, 1.0])]
+    rows += [(k, [r.choice([-1, 1]) * 10 ** r.uniform(0, 15) for _ in range(5)]) for k in range(3, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = topk.quantised(df)
+    got = [tuple(x) for x in topk.top_k(q, q.where("vec_id % 20 = 0"), k=7, rows_per_block=16, queries_per_block=2).orderBy("query_id", "rank").collect()]
+    from math import floor
+    held = {i: [floor(64 * x) for x in v] for i, v in rows}
+    want = []
+    for i in (0, 20, 40):
+        best = sorted((-sum(a * b for a, b in zip(held[i], held[j], strict=False)), j) for j in held if j != i)[:7]
+        want += [(i, k, j, max(-(2**63), min(2**63 - 1, -s))) for k, (s, j) in enumerate(best, 1)]
+    assert got == want and any(s == 2**63 - 1 for *_, s in got)
+
+
 def test_archives_are_read_back(spark, tmp_path):
     pages = [(1, "http://a/b", "<p>same</p>"), (0, "u\r\nx", "<p>same</p>"), (2, None, None), (3, "v", ""), (4, "w", "é" * 100_000), (5, "x", "one"), (5, "x", "one"),
              (None, "n", "<p>same</p>"), (None, "n", "alone"), *[(100 + k, f"http://h/{k}", f"<html>{'word ' * (k % 50)}{k}</html>") for k in range(300)]]
@@ -324,10 +340,14 @@ def test_pipeline_stages(spark):
     made = [(1, " ".join(base)), (2, " ".join([*base[:-1], "other"])), (3, "write to a@b.co or 10.0.0.1 today my friend"), (4, None), (3, "write to a@b.co or 10.0.0.1 today my friend"), (None, "x"), (None, "x")]
     df = spark.createDataFrame([(i, t, "en", "s", 7) for i, t in made], "doc_id long, text string, lang string, source string, n_chars long")
     one = pipeline.one_of_each_group(spark, df, folder)
-    assert one.columns == df.columns and sorted((x.doc_id is None, x.doc_id) for x in one.collect()) == [(False, 1), (False, 3), (False, 4), (True, None), (True, None)]
+    assert one.columns == df.columns and sorted((x.doc_id is None, x.doc_id) for x in one.collect()) == [(False, 1), (False, 3), (False, 4), (True, None)]
+    apart = [(3, "not at all like the other text of that id"), (8, " ".join(base)), (8, "one more text with an id that comes twice"), (None, "Only Here"), (None, " ".join(base)), (9, ""), (9, "")]
+    more = spark.createDataFrame([*df.collect(), *[(i, t, "en", "s", 7) for i, t in apart]], df.schema)
+    got = sorted(((x.doc_id or 99, x.text or "") for x in pipeline.one_of_each_group(spark, more, folder).collect()))
+    assert got == sorted([(1, made[0][1]), (3, made[2][1]), (3, apart[0][1]), (4, ""), (8, apart[2][1]), (9, ""), (9, ""), (99, "Only Here"), (99, "x")])
     clean = {x.doc_id: x for x in pipeline.without_personal_data(spark, one, folder).collect()}
     assert clean[3].text == "write to [EMAIL] or [IP] today my friend" and clean[3].n_chars == len(clean[3].text) and clean[4].n_chars is None
-    assert pipeline.packed(spark, one, folder).count() == 5
+    assert pipeline.packed(spark, one, folder).count() == 4
 
 
 def test_samples_and_best_rows_do_not_depend_on_partitions(spark):
