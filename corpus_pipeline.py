@@ -7,7 +7,6 @@ the last return the columns of `documents`.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evenkeel.llm import jaccard, packing, pii, quality
@@ -24,18 +23,21 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates.
+    """The row with the smallest (doc_id, text) of each group of near-duplicates, a null doc_id being the largest.
 
-    Of rows that share a doc_id the one with the smallest text stays; rows without one all stay.
+    Rows are told apart by doc_id, or, if that repeats or is null anywhere, by a number written once.
     """
-    groups = cut(jaccard.jaccard_groups(docs, WORDS, PERCENT))
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").take(1):
-        place = fresh(docs, "_place")
-        first = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-        kept = kept.withColumn(place, F.when(F.col("doc_id").isNotNull(), first).otherwise(1)).where(F.col(place) == 1).drop(place)
-    return kept
+    key = fresh(docs, "_row")
+    ids = docs.groupBy("doc_id").count().agg(F.count_if((F.col("count") > 1) | F.col("doc_id").isNull())).first()[0]
+    rows = docs.withColumn(key, F.col("doc_id")) if not ids else cut(docs.withColumn(key, F.monotonically_increasing_id()))
+    groups = cut(jaccard.jaccard_groups(rows, WORDS, PERCENT, doc_id=key).select(F.col("doc_id").alias(key), "component_id"))
+    if not ids:
+        others = groups.where(F.col(key) != F.col("component_id"))
+    else:
+        first = rows.join(groups, key).groupBy("component_id").agg(
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text", key)).getField(key).alias(key))
+        others = groups.join(first, key, "left_anti")
+    return rows.join(others.select(key), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
