@@ -2,16 +2,20 @@
 
 A page is cut into leaf blocks: runs of text between tags that are not inline. Each block
 has the tags and the class, id and role words of all open elements, each once, of which those
-that the training layouts know are read, its hashed words and a few numbers. A bidirectional LSTM in numpy reads the blocks of a page in order, so that every
-block is judged with the whole page in view, and labels it main text or not.
+met in training are read (some are left out there at random, so that a block may lack any), the
+hashes of all its words and a few numbers. A bidirectional LSTM in numpy reads the blocks of a
+page in order, so that every block is judged with the whole page in view, and labels it main
+text or not.
 
 The model is trained once per run in one task, on a bounded sample: `SAMPLE_PAGES` pages in
 hash order lend their text blocks, which are set into page layouts drawn by rule (articles
 with headings, lists, tables and quotes; menus, headers, footers, sidebars, notices,
-adverts, forms, comments, related links), so that the right label of every block is known.
+adverts, forms, comments, related links, some with words of their kind), so that the right label
+of every block is known.
 Scoring works on each page alone.
 
-Scripts, styles, templates, comments and form controls are markup and are no blocks. White
+Scripts, styles, templates, text areas, titles, embedded frames and comments are markup and are no
+blocks, nor is what the attributes hidden, aria-hidden or style hide; all else is read. White
 space inside a block becomes one space; blocks are joined by one line feed. Null and empty
 html give an empty text; repeated rows and page_ids are treated alike; empty tables give no
 rows (the model is then trained on the layouts alone). Other columns are not used.
@@ -23,6 +27,7 @@ import html as entities
 import io
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,19 +44,23 @@ POOL, EPOCHS, PER_STEP, RATE = 3000, 7, 32, 0.015  # drawn pages, passes over th
 
 INLINE = frozenset((
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr output q s samp small span "
-    "strike strong sub sup time tt u var wbr").split())
+    "strike strong sub sup svg time tt u var wbr "
+    "math annotation mfrac mi mn mo mover mrow msqrt mstyle msub msubsup msup mtext munder semantics").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select button noembed noframes canvas audio video".split())
+RAW = frozenset("script style template iframe textarea title noembed noframes".split())  # read up to their end tag
+SHOWN_IN_PATH = frozenset("a svg".split())  # inline elements that count
 CLOSES_P = frozenset((
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu "
     "nav ol p pre section table ul").split())
+ENDS_DRAWING = frozenset("b big br center code em embed i img nobr ruby s small span strong strike sub sup tt u var body".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMING = frozenset("class id role itemprop aria-label".split())
+UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -117,45 +126,50 @@ def blocks(page: str | None) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        drawn = bool(places.get("svg") or places.get("math"))
+        inline = name in INLINE or drawn and not (name in CLOSES_P or name in SIBLINGS or name in ("text", "foreignobject", "body", "html"))
         if m.group(1):
-            if name not in INLINE:
+            if not inline:
                 end()
             if name != "br":
                 pop((name,))
             continue
         rest = m.group(3) or ""
         if name in RAW:
-            if name not in INLINE:
+            if not inline:
                 end()
-            if not rest.rstrip().endswith("/") or name not in ("svg", "math"):
-                low = page.lower() if low is None else low
-                if len(low) != size:  # lower case may change the length of a text
-                    stop = re.compile(f"</{name}", re.I).search(page, at)
-                    close = stop.start() if stop else -1
-                else:
-                    close = low.find(f"</{name}", at)
-                after = page.find(">", close) if close >= 0 else -1
-                at = size if close < 0 or after < 0 else after + 1
+            low = page.lower() if low is None else low
+            if len(low) != size:  # lower case may change the length of a text
+                stop = re.compile(f"</{name}", re.I).search(page, at)
+                close = stop.start() if stop else -1
+            else:
+                close = low.find(f"</{name}", at)
+            after = page.find(">", close) if close >= 0 else -1
+            at = size if close < 0 or after < 0 else after + 1
             continue
+        if drawn and (name in CLOSES_P or name in SIBLINGS or name in ENDS_DRAWING):
+            pop(("svg", "math"))
+            drawn, inline = False, name in INLINE
         if name == "br":
             runs.append(" ")
             continue
-        if name not in INLINE:
+        if not inline:
             end()
             if name in CLOSES_P:
                 pop(("p",), ("table", "td", "th", "li", "div", "section", "article", "body"))
             if name in SIBLINGS:
                 pop(SIBLINGS[name], ("ul", "ol", "dl", "table", "menu"))
-        if name in VOID:
+        if name in VOID or drawn and rest.endswith("/"):
             continue
         words = []
-        if name not in INLINE or name == "a":
+        if not inline or name in SHOWN_IN_PATH:
             words.append(name)
-        if rest:
-            if HIDDEN_ATTRIBUTE.search(rest):
+        for key, *values in ATTRIBUTE.findall(rest) if rest else ():
+            key, value = key.lower(), "".join(values)
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and UNDISPLAYED.search(value):
                 words.append("#unseen")
-            for key, *values in ATTRIBUTE.findall(rest):
-                words += [f"{'.' if key.lower() != 'itemprop' else '@'}{w.lower()}" for w in NAME.findall(" ".join(values))]
+            elif key in NAMING:
+                words += [f"{'.' if key != 'itemprop' else '@'}{w.lower()}" for w in NAME.findall(value)]
         own = [w for w in dict.fromkeys(words) if w not in path]
         path.update(dict.fromkeys(own))
         places.setdefault(name, []).append(len(stack))
@@ -165,18 +179,18 @@ def blocks(page: str | None) -> list[Block]:
 
 
 class Features:
-    """Flat hashed features of a list of pages, each a list of blocks."""
+    """Flat hashed features of a list of pages, each a list of blocks; `known` has the path words that are read (None: all)."""
 
-    def __init__(self, pages: list[list[Block]]):
+    def __init__(self, pages: list[list[Block]], known: frozenset[str] | None = None):
         paths, path_of, words, word_of, numbers = [], [], [], [], []
         n = 0
         for page in pages:
             total = max(1, len(page))
             for k, b in enumerate(page):
-                seen = [w for w in b.path if w in KNOWN]
+                seen = [w for w in b.path if known is None or w in known]
                 paths += [bucket(w, PATHS) for w in seen]
                 path_of += [n] * len(seen)
-                parts = b.text.split(None, 40)[:40]
+                parts = b.text.split()
                 words += [bucket(w.lower(), WORDS) for w in parts]
                 word_of += [n] * len(parts)
                 size = len(b.text)
@@ -208,7 +222,8 @@ class Labeller:
 
     NAMES = ("path", "word", "wx0", "wh0", "b0", "wx1", "wh1", "b1", "out", "bias")
 
-    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 7):
+    def __init__(self, weights: dict[str, np.ndarray] | None = None, seed: int = 7, known: frozenset[str] | None = None):
+        self.known = known
         if weights is None:
             r = np.random.default_rng(seed)
             wide = WIDTH_PATH + WIDTH_WORD + NUMBERS
@@ -222,13 +237,13 @@ class Labeller:
 
     def pack(self) -> bytes:
         held = io.BytesIO()
-        np.savez(held, **self.w)
+        np.savez(held, known=np.array(sorted(self.known or ()), "U"), **self.w)
         return held.getvalue()
 
     @classmethod
     def unpack(cls, raw: bytes) -> Labeller:
         with np.load(io.BytesIO(raw)) as z:
-            return cls({k: z[k] for k in cls.NAMES})
+            return cls({k: z[k] for k in cls.NAMES}, known=frozenset(z["known"].tolist()))
 
     def inputs(self, f: Features) -> np.ndarray:
         x = np.zeros((f.n, WIDTH_PATH + WIDTH_WORD + NUMBERS), np.float32)
@@ -284,7 +299,7 @@ class Labeller:
         for at in range(0, len(order), per_batch):
             part = order[at : at + per_batch]
             lengths = [len(pages[k]) for k in part]
-            p = sigmoid(self.forward(self.inputs(Features([pages[k] for k in part])), lengths))
+            p = sigmoid(self.forward(self.inputs(Features([pages[k] for k in part], self.known)), lengths))
             for k, got in zip(part, np.split(p, np.cumsum(lengths)[:-1]), strict=True):
                 out[k] = got
         return out
@@ -343,10 +358,20 @@ AROUND = {
 MAIN_WORDS = "article content post entry main story body text page blog single hentry news articlebody".split()
 SMALL_WORDS = "x7 inner wrap wrapper container row col box clearfix block item list group unit grid flex js".split()
 
-# Path words that the layouts can have; others were never learned and are no evidence.
-KNOWN = frozenset((
-    *"html head body main article section div nav ul ol li menu header footer aside ins p form a h1 h2 h3 h4 table tr td blockquote".split(),
-    *(f".{x}" for w in [*MAIN_WORDS, *SMALL_WORDS, *(v for words, _ in AROUND.values() for v in words.split())] for x in NAME.findall(w))))
+# Words that such parts are made of.
+SAID = {
+    "menu": "home about contact news products services blog archive sections login account more",
+    "header": "welcome official site subscribe search today edition",
+    "footer": "copyright rights reserved terms privacy imprint contact careers sitemap powered",
+    "sidebar": "popular latest categories tags archives follow recent topics",
+    "notice": "cookies cookie accept consent settings policy privacy agree browser update javascript continue",
+    "advert": "buy sale off offer deal discount sponsored shop order free shipping price advertisement",
+    "form": "email search submit subscribe newsletter password name sign send your enter",
+    "comments": "reply said posted likes thanks agree wrote commented ago great comment",
+    "related": "related read also share tweet recommended you might next previous print follow",
+}
+MIN_PATH = 3  # blocks of the drawn pages that a path word must have to be read
+DROPPED = 0.03  # share of path words left out in training
 
 
 class Layouts:
@@ -371,6 +396,20 @@ class Layouts:
         k = int(self.r.integers(max(1, len(words))))
         return " ".join(words[k : k + int(self.r.integers(1, 6))]) or "x"
 
+    def said(self, kind: str, text: str) -> str:
+        """The text, half of the time with some words of its kind among its first ones."""
+        if self.chance(0.5):
+            return text
+        words, own = text.split(), SAID[kind].split()
+        for _ in range(int(self.r.integers(1, 4))):
+            words.insert(int(self.r.integers(0, min(len(words), 8) + 1)), self.pick(own))
+        return " ".join(words)
+
+    def control(self) -> str:
+        """A form control or a drawing, which may stand anywhere and is never main text."""
+        text = self.short()
+        return self.pick([f"<button>{text}</button>", f"<select><option>{text}<option>{self.short()}</select>", f"<svg><text>{text}</text></svg>"])
+
     def heading(self, level: int, text: str) -> str:
         return f"<h{level}>{text}</h{level}>"
 
@@ -394,20 +433,20 @@ class Layouts:
             out += self.heading(int(self.r.integers(1 if kind == "header" else 2, 5)), self.short())
         n = int(self.r.integers(1, 9))
         if listed:
-            out += "<ul>" + "".join(f'<li><a href="/x">{self.short()}</a></li>' for _ in range(n)) + "</ul>"
+            out += "<ul>" + "".join(f'<li><a href="/x">{self.said(kind, self.short())}</a></li>' for _ in range(n)) + "</ul>"
         elif kind == "comments":
             for _ in range(n):
-                inner = f"<p>{self.long()}</p>"
+                inner = f"<p>{self.said(kind, self.long())}</p>"
                 if self.chance(0.5):
                     own = self.pick(["div", "li", "article"])
                     inner = f"<{own}{self.attributes(words.split(), 0.6)}><b>{self.short()}</b>{inner}</{own}>"
                 out += inner
         else:
             for _ in range(int(self.r.integers(1, 4))):
-                text = self.long() if self.chance(0.5) else self.short()
+                text = self.said(kind, self.long() if self.chance(0.5) else self.short())
                 out += self.pick([text, f"<p>{text}</p>", f"<div>{text}</div>", f'<p>{text} <a href="/y">{self.short()}</a></p>', f"<span>{text}</span>"])
         if kind == "form":
-            out += f"<label>{self.short()}</label><input name=q>"
+            out += f"<label>{self.said(kind, self.short())}</label><input name=q>{self.control()}"
         return out + f"</{tag}>"
 
     def body(self) -> str:
@@ -426,6 +465,8 @@ class Layouts:
                 out += f"<blockquote>{text}</blockquote>"
             else:
                 out += f"<table><tr><td>\x02{self.short()}</td><td>\x02{self.short()}</td></tr></table>"
+            if self.chance(0.05):
+                out += self.control()
             if self.chance(0.15):
                 out += self.around(self.pick(["advert", "related", "notice", "form", "form", "sidebar"]))
         if self.chance(0.08):
@@ -459,7 +500,12 @@ def train(texts: list[str], seed: int = 7, pool: int = POOL, epochs: int = EPOCH
     """Adam over a pool of drawn pages; the seed fixes the result."""
     model, draw = Labeller(seed=seed), Layouts(texts, seed)
     pages = [x for x in (draw.page() for _ in range(pool)) if x[0]]
-    held = [(Features([b]), len(b), y) for b, y in pages]
+    seen = Counter(w for b, _ in pages for x in b for w in x.path)
+    model.known = frozenset(w for w, n in seen.items() if n >= MIN_PATH)
+    for b, _ in pages:
+        for x in b:
+            x.path = tuple(w for w in x.path if not draw.chance(DROPPED))
+    held = [(Features([b], model.known), len(b), y) for b, y in pages]
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
     batches = [order[at : at + PER_STEP] for _ in range(epochs) for order in [draw.r.permutation(len(held))] for at in range(0, len(held), PER_STEP)]

@@ -289,6 +289,81 @@ def test_paths_are_whole_under_many_class_words():
     assert [b.path for b in html.blocks("<p><li>" + "<b>" * 50_000 + "<h1>" * 50_000 + "</i>" * 50_000 + "x")] == [("p", "li", "h1")]
 
 
+def test_attribute_values_hide_nothing_and_no_tag_takes_the_rest():
+    def read(page):
+        return [b.text for b in html.blocks(page)]
+    assert read('<div class="flex hidden md"><p>Article text here.</p></div>') == ["Article text here."]
+    assert read('<p title="the hidden door">Kept?</p><p data-a="x display: none y">styled</p><p alt=hidden>z</p>') == ["Kept?", "styled", "z"]
+    assert read('<p hidden>a</p><p aria-hidden="true">b</p><p style="color:red; display : none">c</p><p HIDDEN=>d</p>x<p aria-hidden=false>e') == ["x", "e"]
+    assert read("<p>e=<math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> holds</p>") == ["e=mc2 holds"]
+    for tag in ("svg", "math", "object", "button", "select", "noscript", "canvas", "audio", "video"):
+        assert "".join(read(f"<p>x <{tag}> never closed <p>rest of article</p>")).replace(" ", "") == "xneverclosedrestofarticle", tag
+        got = html.blocks(f"<article><p>x <{tag}>in</{tag}></p><p>after</p></article><p>out")
+        assert got[-1].path == ("p",) and tag not in got[-2].path
+    assert read('<p>a <svg viewBox="0 0 1 1"><title>t</title><path d="M0"/><g><path/></g></svg> b</p><p>c') == ["a b", "c"]
+    assert html.blocks("<p>a<svg><path d=x/></svg><p>b")[-1].path == ("p",)
+    assert read("<div>a <svg> b</div>c") == ["a b", "c"]
+    assert read("<p>a</p><script>x<p>lost") == ["a"] and read("<noscript><p>seen</p></noscript>") == ["seen"]
+
+
+def independent_text(page):
+    """Words outside raw elements by the standard library's parser, with those under `article` marked."""
+    from html.parser import HTMLParser
+
+    out, depth = [], {"article": 0, "raw": 0}
+
+    class Reader(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            depth["article"] += tag == "article"
+            depth["raw"] += tag in ("script", "style", "title", "textarea", "iframe", "template")
+
+        def handle_endtag(self, tag):
+            depth["article"] -= tag == "article" and depth["article"] > 0
+            depth["raw"] -= tag in ("script", "style", "title", "textarea", "iframe", "template") and depth["raw"] > 0
+
+        def handle_data(self, data):
+            if not depth["raw"]:
+                out.extend((w, depth["article"] > 0) for w in data.split())
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return out
+
+
+def test_blocks_lose_no_word_of_the_pages(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        own = [(w, "article" in b.path) for b in html.blocks(r.html) for w in b.text.split()]
+        assert "".join(w for w, a in own if a) == "".join(w for w, a in independent_text(r.html) if a)
+        assert "".join(w for w, _ in own) == "".join(w for w, _ in independent_text(r.html))
+
+
+# Written by hand; what stands in [[ ]] is the article.
+HAND_MADE = [
+    """<body class="home page-template"><header id=top><a href=/>Daily Paper</a><nav class="main-nav"><a href=/a>Politics</a><a href=/b>Sports</a></nav></header>
+    <div class="cookie-bar"><p>We use cookies to improve the site. <button>Accept</button></p></div><main><article class="story"><h1>[[Bridge reopens after repairs]]</h1>
+    <p class="lead">[[The old bridge over the river was opened to traffic again on Monday.]]</p><p>[[Engineers had worked on it for two years, the city said.]]</p>
+    <aside class="related"><h3>Read also</h3><ul><li><a href=/1>Tunnel closed</a></li><li><a href=/2>Road works</a></li></ul></aside>
+    <p>[[Tolls are to stay as they were.]]</p></article><section id="comments"><h2>Comments</h2><div class="comment"><b>Ann</b><p>About time, I wrote to them twice.</p></div></section></main>
+    <footer><p>Copyright 2020 Daily Paper, all rights reserved</p></footer></body>""",
+    """<div id="wrapper" class="px-4 md:flex hidden-xs"><div class="topbar"><ul><li><a href=/>Home</a></li><li><a href=/shop>Shop</a></li></ul></div><div class="content"><div class="post entry-content">
+    <h1>[[How to keep basil]]</h1><p>[[Put it into a glass of water and keep it warm.]]</p><div class="advert">Buy our herb scissors now, 20% off</div><ul><li>[[Change the water daily.]]</li>
+    <li>[[Cut the stems at an angle.]]</li></ul><blockquote>[[Never put basil in the fridge.]]</blockquote></div></div><div class="sidebar widget"><h4>Popular posts</h4><p>Ten kinds of mint</p></div>
+    <div class="newsletter"><form><label>Your email</label><input name=e><button>Subscribe</button></form></div><div id="footer">Terms and privacy</div></div>""",
+]
+
+
+def test_hand_made_pages_are_read_right():
+    model = html.train(["Some words of a page.", "A second, longer line of text that goes on for a while and ends here.", "third one", "It was said that nothing else would be built there."], pool=1_500)
+    right = total = 0
+    for page in HAND_MADE:
+        want = {w.strip() for w in __import__("re").findall(r"\[\[(.*?)\]\]", page, 16)}
+        found = html.blocks(page.replace("[[", "").replace("]]", ""))
+        p = model.score([found])[0]
+        right += sum((x > 0.5) == (b.text in want) for b, x in zip(found, p, strict=True))
+        total += len(found)
+    assert right >= 0.9 * total, (right, total)
+
+
 def test_gradients_are_right():
     draw = html.Layouts([], 3)
     pages = [draw.page() for _ in range(3)]
