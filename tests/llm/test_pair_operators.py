@@ -82,6 +82,16 @@ def test_tables_of_short_texts_are_grouped(spark):
                 assert got[i] == (len(own), first.setdefault(own, i) if own else i)
 
 
+def test_frequencies_in_one_byte_keep_their_order():
+    df = np.unique(np.r_[np.arange(1, 5_000), 2 ** np.arange(13, 40), 2 ** np.arange(13, 40) - 1])
+    levels = jaccard.level(df)
+    assert (np.diff(levels.astype(int)) >= 0).all() and (levels[:127] == df[:127]).all()
+    low = df < 1 << 20
+    assert (jaccard.power(levels[low]) == np.frexp(df[low].astype(float))[1]).all()
+    tokens = np.array([0, 5, 2**47 - 1], np.uint64)
+    assert (jaccard.wide(jaccard.narrow(tokens, 6), 6) == tokens.view(np.int64)).all() and jaccard.token_width(1) == 5 and jaccard.token_width(70_000) == 7
+
+
 def near_texts():
     r = random.Random(4)
     vocabulary = [f"w{k}" for k in range(4000)]
@@ -133,9 +143,9 @@ def test_meetings_in_small_blocks_lose_no_link(spark):
     caught = {}
     plain = jaccard.linked
 
-    def keep(shared, percent):
-        caught["shared"] = shared
-        return plain(shared, percent)
+    def keep(shared, percent, width):
+        caught["shared"], caught["width"] = shared, width
+        return plain(shared, percent, width)
     try:
         jaccard.linked = keep
         jaccard.jaccard_groups(df).count()
@@ -143,7 +153,7 @@ def test_meetings_in_small_blocks_lose_no_link(spark):
         jaccard.linked = plain
     shared = caught["shared"]
     nobody = spark.createDataFrame([], "id long, component long")
-    got = components(jaccard.between_components(shared, nobody, 85, block=16)).collect()
+    got = components(jaccard.between_components(shared, nobody, 85, caught["width"], block=16)).collect()
     reps = {r.doc_id for r in shared.select("doc_id").collect()}
     want = brute_groups([(i, t) for i, t in rows if i in reps], 4, 85)
     assert {(r.id, r.component) for r in got} == {(i, c) for i, c in want.items() if sum(c == d for d in want.values()) > 1}
