@@ -47,6 +47,25 @@ def best_rows(df: DataFrame, score: str, most: int, steps: int = 16) -> DataFram
     return df.where(step >= last) if last is not None else df.where(F.lit(False))
 
 
+def without(rows: DataFrame, others: DataFrame, key: str, most_bits: int = 1 << 31) -> DataFrame:
+    """`rows` whose `key` (not null) is not among those of `others`; most rows are not shuffled.
+
+    The keys of `others` are marked by hash in bitmaps of 32768 bits, 64 bits a key and `most_bits` (256 MB) in
+    all at most, which are broadcast. Rows whose bit is not set stay where they are; the rest is joined exactly.
+    """
+    others = others.select(key).distinct()
+    bits = min(most_bits, -(-max(1, 64 * others.count()) // 32768) * 32768)
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    bucket, bitmap = fresh(rows, "_bucket"), fresh(rows, "_bitmap")
+    marks = others.groupBy(F.floor(slot / 32768).alias(bucket)).agg(F.bitmap_construct_agg((slot % 32768).cast("long")).alias(bitmap))
+    place = (slot % 32768).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place % 8)) > 0, F.lit(False))
+    told = rows.withColumn(bucket, F.floor(slot / 32768)).join(F.broadcast(marks), bucket, "left").withColumn(bitmap, marked)
+    same = [F.col(f"`{c}`") for c in rows.columns]
+    return told.where(~F.col(bitmap)).select(*same).unionByName(told.where(bitmap).select(*same).join(others, key, "left_anti").select(*same))
+
+
 def give_back() -> None:
     """Return freed memory to the system; called where a task ends, as Python workers live on for later stages."""
     import ctypes

@@ -435,6 +435,18 @@ def test_pipeline_stages(spark):
     assert pipeline.packed(spark, one, folder).count() == 4
 
 
+def test_rows_without_others_are_whole(spark):
+    from evenkeel.llm.common import without
+
+    rows = spark.range(-3_000, 3_000).selectExpr("id AS k", "concat('t', id) AS _bucket", "id % 7 AS `a.b`")
+    others = rows.where("k % 3 = 0").select("k").unionByName(spark.range(50_000, 50_100).toDF("k"))
+    for bits in (1 << 15, 1 << 31):
+        got = without(rows.unionByName(rows.where("k < 10")), others, "k", most_bits=bits)
+        assert got.columns == rows.columns
+        assert sorted(r.k for r in got.collect()) == sorted([k for k in range(-3_000, 3_000) if k % 3] + [k for k in range(-3_000, 10) if k % 3])
+    assert without(rows, others.limit(0), "k").count() == 6_000 and without(rows.limit(0), others, "k").count() == 0
+
+
 def test_samples_and_best_rows_do_not_depend_on_partitions(spark):
     from evenkeel.llm.common import best_rows, hash_sample
 
