@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.llm import jaccard, packing, pii, quality
-from evenkeel.llm.common import fresh, table
+from evenkeel.llm.common import fresh, table, without
 from evenkeel.session import cut
 
 WORDS, PERCENT = 5, 80  # shingles and similarity of near-duplicates
@@ -37,7 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         first = rows.join(groups, key).groupBy("component_id").agg(
             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text", key)).getField(key).alias(key))
         others = groups.join(first, key, "left_anti")
-    return rows.join(others.select(key), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(rows, cut(others.select(key)), key).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
