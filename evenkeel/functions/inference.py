@@ -51,10 +51,27 @@ def normal_two_sided(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+EXACT_PAIRS = 50  # differences up to which the signed-rank distribution is counted out
+
+
+def signed_rank_tail(n: Column, statistic: Column) -> Column:
+    """P(W <= statistic), W the sum of a random half of the ranks 1 to n.
+
+    The polynomial of rank sums is folded rank by rank: each rank is in or out with one half.
+    """
+    def add(chances: Column, rank: Column) -> Column:
+        size = F.size(chances)
+        return F.transform(F.sequence(F.lit(0), size + rank - 1), lambda s: 0.5 * (
+            F.coalesce(F.get(chances, s), F.lit(0.0)) + F.when(s >= rank, F.get(chances, s - rank)).otherwise(F.lit(0.0))))
+    spread = F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.array(F.lit(1.0)), add)
+    return F.aggregate(F.slice(spread, 1, F.floor(statistic).cast("int") + 1), F.lit(0.0), lambda a, x: a + x)
+
+
 def wilcoxon(df: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
-    """Signed-rank test per `keys`: zeros dropped, average ranks, tie-corrected normal approximation.
+    """Signed-rank test per `keys`: zeros dropped, average ranks.
 
-    Groups with only zeros get p = 1.
+    Up to `EXACT_PAIRS` differences without ties or zeros p is exact, otherwise it is the
+    tie-corrected normal approximation. Groups with only zeros get p = 1.
     """
     keys = list(keys)
     base = df.withColumn("_abs", F.abs(F.col(diff)))
@@ -68,10 +85,12 @@ def wilcoxon(df: DataFrame, keys: Sequence[str], diff: str) -> DataFrame:
         *keys).agg(F.sum(c * c * c - c).alias("_ties"))
     n = F.col("n").cast("double")
     z = (F.col("up") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48)
-    tested = sums.join(ties, keys).select(*keys, "n", F.least("up", "down").alias("statistic"), z.alias("z"))
-    return df.select(*keys).distinct().join(tested, keys, "left").select(
-        *keys, F.coalesce("n", F.lit(0)).alias("n"), "statistic", "z",
-        F.coalesce(normal_two_sided(F.col("z")), F.lit(1.0)).alias("p"))
+    tested = sums.join(ties, keys).select(*keys, "n", F.least("up", "down").alias("statistic"), z.alias("z"), "_ties")
+    groups = df.groupBy(*keys).agg(F.count_if(F.col(diff) == 0).alias("_zeros"))
+    exact = (F.col("n") <= EXACT_PAIRS) & (F.col("_ties") == 0) & (F.col("_zeros") == 0)
+    p = F.when(exact, F.least(F.lit(1.0), 2 * signed_rank_tail(F.col("n"), F.col("statistic")))).otherwise(normal_two_sided(F.col("z")))
+    return groups.join(tested, keys, "left").select(
+        *keys, F.coalesce("n", F.lit(0)).alias("n"), "statistic", "z", F.coalesce(p, F.lit(1.0)).alias("p"))
 
 
 def bh_adjust(df: DataFrame, keys: Sequence[str], p: str, id_col: str) -> DataFrame:

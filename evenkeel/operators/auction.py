@@ -33,7 +33,7 @@ FINER = 8  # by which the bidding step shrinks
 def grid(n: int, m: int) -> int:
     """Steps of the largest cost, so that prices stay below 2**62."""
     size = n + m
-    return max(1, min(1 << 40, (1 << 61) // (size * (size + 1) * (min(n, m) + 1))))
+    return max(1, min(1 << 32, (1 << 61) // (size * (size + 1) * (min(n, m) + 1))))
 
 
 def bidding(first: np.ndarray, place: np.ndarray, cost: np.ndarray, price: np.ndarray, step: int) -> np.ndarray:
@@ -136,7 +136,7 @@ def paired(edges: DataFrame, by: Sequence[str]) -> DataFrame:
 def in_rounds(edges: DataFrame, by: list[str], schema: str) -> DataFrame:
     """The same over cells of any size; `edges` also has _edges, _top, _n and _m of its cell."""
     size = F.col("_n") + F.col("_m")
-    part = f"CAST(greatest(1, least(1099511627776, floor(2305843009213693952 / (CAST(_n + _m AS DOUBLE) * (_n + _m + 1) * (least(_n, _m) + 1))))) AS BIGINT)"
+    part = "CAST(greatest(1, least(4294967296, floor(2305843009213693952 / (CAST(_n + _m AS DOUBLE) * (_n + _m + 1) * (least(_n, _m) + 1))))) AS BIGINT)"
     alone = (F.least("_n", "_m") * F.col("_part") + 1) * (size + 1)
     edges = (edges.withColumn("_part", F.expr(part)).withColumn("_alone", alone)
              .withColumn("_paid", F.rint(F.col("cost") / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0) * F.col("_part")).cast("long") * (size + 1)))

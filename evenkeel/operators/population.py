@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import draw_key
-from ..functions.ranks import hash_row_number
+from ..functions.ranks import bucketed_row_number, hash_row_number
+from ..session import cut
 
 # Name pattern of each family, default families, lineage markers.
 FAMILY_PATTERNS = {
@@ -215,11 +217,29 @@ def selection_audit(population: DataFrame, representatives: DataFrame, keys: Seq
     return a.join(b, keys, "left").na.fill(0)
 
 
+def apportion(sizes: DataFrame, stratum: str, fraction: float) -> DataFrame:
+    """Whole shares of each stratum that add up to `fraction` of the total, what is over going to the rest.
+
+    `sizes`: (stratum, n). Every stratum gets its quota rounded down; the places left go to the
+    largest remainders, ties to the smaller name. Returns (stratum, share).
+    """
+    sizes = cut(sizes)
+    whole, strata = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if not whole:
+        return sizes.select(stratum, F.lit(0).cast("bigint").alias("share"))
+    total = whole - math.ceil(round((1 - fraction) * whole, 9))
+    quota = sizes.withColumn("_base", F.expr(f"{total}L * n div {whole}")).withColumn("_rest", F.expr(f"{total}L * n % {whole}"))
+    left = total - quota.agg(F.sum("_base")).first()[0]
+    ranked = bucketed_row_number(quota, [], [F.col("_rest").desc(), F.col(stratum)], F.floor(-256.0 * F.col("_rest") / F.lit(whole)), "_place", strata)
+    return ranked.select(stratum, (F.col("_base") + (F.col("_place") <= left).cast("bigint")).alias("share"))
+
+
 def stratified_item_split(items: DataFrame, stratum: str, id_col: str, fraction: float, seed: int) -> DataFrame:
-    """Add `part` = train or test, with a half-even share per stratum."""
-    r = hash_row_number(items, [stratum], draw_key(seed, id_col, tag="item"), id_col)
-    share = F.bround(F.lit(fraction) * F.col("rn_of"), 0)
-    return r.withColumn("part", F.when(F.col("rn") <= share, F.lit("train")).otherwise(F.lit("test"))).drop("rn", "rn_of")
+    """Add `part` = train or test; the train items are exactly the total's share, apportioned to the strata."""
+    shares = apportion(items.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")), stratum, fraction)
+    r = hash_row_number(items, [stratum], draw_key(seed, id_col, tag="item"), id_col).join(shares, stratum)
+    part = F.when(F.col("rn") <= F.col("share"), F.lit("train")).otherwise(F.lit("test"))
+    return r.withColumn("part", part).select(*[F.col(c) for c in items.columns], "part")
 
 
 def model_split(models: DataFrame, eval_fraction: float, tuning: int, seed: int) -> DataFrame:

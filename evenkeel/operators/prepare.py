@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .blocks import block_similarity
+
 OPTION_JSON = "array<struct<label:string,text:string>>"
 
 
@@ -67,6 +69,44 @@ def content_match_status(question: Column, options_json: Column, problem: Column
             .otherwise("no_match"))
 
 
+# The wording of sentence problems.
+SENTENCE_HEAD = "Choose the right option for a given sentence:\n"
+OPTION_HEADS = ("Option 1: ", "Option 2: ")
+BLANK = "_"
+
+
+def sentence_template_status(question: Column, problem: Column, compatibility: bool = True) -> Column:
+    """Class of a (question, problem) pair of the kind "fill the blank with one of two options".
+
+    The last paragraph of the question has to be the sentence up to its blank with an option
+    (blank_prefix), or a beginning of the whole sentence with an option in every blank (other_blank).
+    """
+    text = F.regexp_replace(nfkc(problem) if compatibility else problem, "\r\n", "\n")
+    lines = F.split(F.substr(text, F.lit(len(SENTENCE_HEAD) + 1)), "\n")
+    n = F.size(lines)
+    sentence = F.array_join(F.slice(lines, 1, F.greatest(n - 2, F.lit(0))), "\n")
+    ends = [F.get(lines, n - 2), F.get(lines, n - 1)]
+    formed = F.startswith(text, F.lit(SENTENCE_HEAD)) & (n >= 3) & F.startswith(ends[0], F.lit(OPTION_HEADS[0])) & F.startswith(ends[1], F.lit(OPTION_HEADS[1]))
+    options = [F.substr(e, F.lit(len(h) + 1)) for e, h in zip(ends, OPTION_HEADS, strict=True)]
+    said = normalize_text(F.element_at(F.split(question, "\n\n"), -1), compatibility)
+    begun = [normalize_text(F.concat(F.substring_index(sentence, BLANK, 1), o), compatibility) for o in options]
+    filled = [normalize_text(F.replace(sentence, F.lit(BLANK), o), compatibility) for o in options]
+    return (F.when(~formed, "other_template")
+            .when((said == begun[0]) | (said == begun[1]), "blank_prefix")
+            .when(F.startswith(filled[0], said) | F.startswith(filled[1], said), "other_blank")
+            .otherwise("no_match"))
+
+
+def block_match_status(question: Column, options_json: Column, problem: Column, minimum: float = 0.75) -> Column:
+    """Status and similarity of a pair as by `content_match_status`, with similarity by matching blocks of the whole texts."""
+    block = option_lines(options_json)
+    target, seen = normalize_text(F.concat(question, F.lit("\n"), block)), normalize_text(problem)
+    same, tail = target == seen, F.endswith(seen, normalize_text(block))
+    likeness = F.when(same, 1.0).otherwise(block_similarity(F.when(tail & ~same, target), seen))
+    return F.struct(F.when(same, "normalized_exact").when(tail & (likeness >= minimum), "variant_same_options").otherwise("no_match").alias("status"),
+                    likeness.alias("similarity"))
+
+
 def source_family(source: Column) -> Column:
     low = F.lower(F.trim(source))
     return (F.when(low.startswith("ori"), "ori").when(low.startswith("stemez"), "stemez")

@@ -8,7 +8,7 @@ from ..operators import blueprint as bp
 from ..operators import population as pop
 from .fixture import (BOOT_SEED, CAP_SEED, CONTROL_SEED, FOLD, FRACTION, HALF_SEED, REPLICATES, STRATA, Fixture,
                       md5_sql, pick_sql)
-from .registry import query, rnd, rounded
+from .registry import query, rnd, rounded, shares_sql
 
 # Model names in the style of public checkpoints, derived from customers and nations.
 NAME_STEMS = ("Qwen-7B", "llama-13b", "gemma-2b", "Mixtral-8x7B", "phi-2", "llama-mistral-merge", "deepseek-dpo", "gpt-neo")
@@ -171,8 +171,8 @@ def _ranked(key: str) -> str:
     return f"""(SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {key}, item_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM {DOC_ITEMS})"""
 
 
-@query("stratified_item_split", f"""SELECT item_id, lang, CASE WHEN rn <= round_even(0.7 * n, 0) THEN 'train' ELSE 'test' END AS part
-  FROM {_ranked(md5_sql(BOOT_SEED, "'item'", 'item_id'))}""")
+@query("stratified_item_split", f"""SELECT r.item_id, r.lang, CASE WHEN rn <= share THEN 'train' ELSE 'test' END AS part
+  FROM {_ranked(md5_sql(BOOT_SEED, "'item'", 'item_id'))} r JOIN {shares_sql(DOC_ITEMS, 'lang', 0.7)} s ON s.lang = r.lang""")
 def stratified_item_split(fx):
     return pop.stratified_item_split(doc_items(fx), "lang", "item_id", 0.7, BOOT_SEED)
 

@@ -10,7 +10,7 @@ from ..operators import newton, population, predict, text
 from ..session import cut
 from .estimator_queries import abilities, item_logits
 from .fixture import BOOT_SEED, CTES, FOLD, Fixture, md5_sql
-from .registry import query, rnd, rounded
+from .registry import query, rnd, rounded, shares_sql
 
 MAX_FEATURES = 2000
 PRIOR = 5.0
@@ -42,8 +42,9 @@ def documents(fx: Fixture):
     return fx.table("documents").select(F.col("doc_id").alias("item_id"), "text", "lang", "source", "n_chars")
 
 
-HOT_SQL = f"""(SELECT doc_id AS item_id, rn <= round_even(0.7 * n, 0) AS train, unnest(['lang=' || lang, 'source=' || source]) AS feature FROM (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {md5_sql(BOOT_SEED, "'item'", 'doc_id')}, doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents))"""
+HOT_SQL = f"""(SELECT doc_id AS item_id, rn <= share AS train, unnest(['lang=' || r.lang, 'source=' || source]) AS feature FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {md5_sql(BOOT_SEED, "'item'", 'doc_id')}, doc_id) AS rn FROM documents) r
+  JOIN {shares_sql('documents', 'lang', 0.7)} s ON s.lang = r.lang)"""
 
 
 @query("one_hot_metadata", f"""SELECT h.item_id, h.feature, i.index FROM {HOT_SQL} h JOIN (SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS "index" FROM

@@ -346,6 +346,21 @@ def wilcoxon_signed_rank(fx):
     return rounded(inference.wilcoxon(d, ["g"], "d").select("g", "n", "statistic", "z"))
 
 
+UNTIED_SQL = "(SELECT s_nationkey AS g, round(s_acctbal - 4500, 6) AS d FROM supplier)"
+
+
+@query("wilcoxon_exact", f"""WITH RECURSIVE chances(n, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL
+   SELECT n + 1, list_transform(range(0, len(c) + n + 1), lambda s: 0.5 * (coalesce(c[s + 1], 0) + CASE WHEN s >= n + 1 THEN c[s - n] ELSE 0 END)) FROM chances WHERE n < 50),
+ r AS (SELECT g, d, row_number() OVER (PARTITION BY g ORDER BY abs(d)) AS r FROM {UNTIED_SQL}),
+ s AS (SELECT g, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, count(DISTINCT abs(d)) = count(*) AND bool_and(d <> 0) AS plain FROM r GROUP BY 1)
+ SELECT g, s.n, round(w::DOUBLE, 8) AS statistic, round(least(1.0, 2 * list_sum(c[1:w::INT + 1])), 8) AS p FROM s JOIN chances USING (n) WHERE plain AND s.n <= 50""")
+def wilcoxon_exact(fx):
+    d = fx.table("supplier").select(F.col("s_nationkey").alias("g"), F.round(F.col("s_acctbal") - 4500, 6).alias("d"))
+    fit = d.groupBy("g").agg((F.count_distinct(F.abs("d")) == F.count("d")).alias("plain"), F.count_if(F.col("d") == 0).alias("zeros"))
+    tested = inference.wilcoxon(d, ["g"], "d").join(fit.where("plain AND zeros = 0").select("g"), "g").where(F.col("n") <= inference.EXACT_PAIRS)
+    return rounded(tested.select("g", "n", "statistic", "p"))
+
+
 BH_IN_SQL = "(SELECT o_orderpriority AS g, o_orderkey AS id, o_totalprice / (SELECT max(o_totalprice) FROM orders) AS p FROM orders)"
 
 

@@ -28,6 +28,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def shares_sql(rows: str, stratum: str, fraction: float) -> str:
+    """Shares of the strata of `rows` by largest remainders: (stratum, share)."""
+    return f"""(SELECT {stratum}, base + (row_number() OVER (ORDER BY rest DESC, {stratum}) <= total - sum(base) OVER ())::BIGINT AS share FROM (
+      SELECT *, total * n // whole AS base, total * n % whole AS rest FROM (
+        SELECT *, whole - ceil(round({round(1 - fraction, 9)} * whole, 9))::BIGINT AS total FROM (
+          SELECT {stratum}, n, (sum(n) OVER ())::BIGINT AS whole FROM (SELECT {stratum}, count(*) AS n FROM {rows} GROUP BY 1)))))"""
+
+
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     """Round every double column, so that summation order cannot show."""
     from pyspark.sql import functions as F

@@ -256,9 +256,9 @@ def text_digest_preview(fx):
 
 
 PAIR_COLS = {
-    "question": "array_to_string(w[1:10], ' ')",
-    "oa": "array_to_string(w[11:14], ' ')",
-    "ob": "array_to_string(w[15:18], ' ')"}
+    "question": "array_to_string(w[1:greatest(len(w) - 8, 0)], ' ')",
+    "oa": "array_to_string(w[greatest(len(w) - 8, 0) + 1:greatest(len(w) - 8, 0) + 4], ' ')",
+    "ob": "array_to_string(w[greatest(len(w) - 8, 0) + 5:], ' ')"}
 PROBLEM_SQL = """CASE item_id % 4 WHEN 0 THEN '  ' || question || chr(10) || blk || chr(10) || 'Answer: ' WHEN 1 THEN question
   WHEN 2 THEN replace(question, ' the ', ' one ') || ' so' || chr(10) || blk ELSE blk || ' ' || question END"""
 
@@ -271,17 +271,60 @@ SELECT item_id, CASE WHEN t = s THEN 'normalized_exact' WHEN ends_with(s, tail)
    CASE WHEN 1.0 - levenshtein(t, s)::DOUBLE / greatest(length(t), length(s)) >= 0.75 THEN 'variant_same_options' ELSE 'no_match' END
   WHEN starts_with(t, s) OR starts_with(s, t) THEN 'prefix_variant' ELSE 'no_match' END AS status FROM n""")
 def content_match_status(fx):
+    t, problem = matched_texts(fx)
+    return t.select("item_id", prepare.content_match_status(F.col("question"), F.col("options"), problem).alias("status"))
+
+
+@query("block_match_status")
+def block_match_status(fx):
+    """The same pairs by matching blocks, with the similarity where the options agree."""
+    t, problem = matched_texts(fx)
+    found = prepare.block_match_status(F.col("question"), F.col("options"), problem)
+    return rounded(t.select("item_id", found.alias("m")).select("item_id", "m.status", "m.similarity"))
+
+
+def matched_texts(fx):
+    """Benchmark texts as a question and two options, and a problem that says it the same or another way."""
     w = F.split(F.translate("text", "\n", " "), " ")
+    cut_at = F.greatest(F.size(w) - 8, F.lit(0))
     part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
     opts = F.array(F.struct(F.lit("A").alias("label"), F.col("oa").alias("text")), F.struct(F.lit("B").alias("label"), F.col("ob").alias("text")))
-    t = fx.table("benchmark").select("item_id", part(1, 10).alias("question"), part(11, 4).alias("oa"), part(15, 4).alias("ob"))
+    t = fx.table("benchmark").select("item_id", part(F.lit(1), cut_at).alias("question"), part(cut_at + 1, F.lit(4)).alias("oa"), part(cut_at + 5, F.lit(4)).alias("ob"))
     t = t.withColumn("options", F.to_json(opts)).withColumn(
         "blk", F.concat(F.lit("A. "), "oa", F.lit("\nB. "), "ob"))
     problem = (F.when(F.col("item_id") % 4 == 0, F.concat(F.lit("  "), "question", F.lit("\n"), "blk", F.lit("\nAnswer: ")))
                .when(F.col("item_id") % 4 == 1, F.col("question"))
                .when(F.col("item_id") % 4 == 2, F.concat(F.replace("question", F.lit(" the "), F.lit(" one ")), F.lit(" so\n"), "blk"))
                .otherwise(F.concat("blk", F.lit(" "), "question")))
-    return t.select("item_id", prepare.content_match_status(F.col("question"), F.col("options"), problem).alias("status"))
+    return t, problem
+
+
+SENTENCES_SQL = """(SELECT item_id, w[1:len(w) // 2] AS a, w[len(w) // 2 + 1:] AS b, w[1] AS o1, w[len(w)] AS o2 FROM (
+  SELECT item_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 4)"""
+SENTENCE_SQL = "array_to_string(a, ' ') || ' _ ' || array_to_string(b, ' ') || CASE WHEN item_id % 5 = 2 THEN ' _' ELSE '' END"
+SAID_SQL = """'given' || chr(10) || chr(10) || CASE item_id % 5 WHEN 0 THEN array_to_string(a, ' ') || ' ' || o1 WHEN 1 THEN array_to_string(a, ' ') || '  ' || o2
+  WHEN 2 THEN array_to_string(a, ' ') || ' ' || o2 || ' ' || b[1] WHEN 3 THEN array_to_string(b, ' ') || ' ' || o1 ELSE array_to_string(a, ' ') END"""
+
+
+@query("sentence_template_status", f"""WITH t AS (SELECT item_id, {SENTENCE_SQL} AS sentence, {SAID_SQL} AS question, o1, o2,
+   CASE WHEN item_id % 7 = 6 THEN 'Pick one:' ELSE 'Choose the right option for a given sentence:' END AS head FROM {SENTENCES_SQL}),
+ n AS (SELECT item_id, head, {norm_sql("string_split(question, chr(10) || chr(10))[-1]")} AS said, {norm_sql("split_part(sentence, '_', 1) || o1")} AS p1, {norm_sql("split_part(sentence, '_', 1) || o2")} AS p2,
+   {norm_sql("replace(sentence, '_', o1)")} AS f1, {norm_sql("replace(sentence, '_', o2)")} AS f2 FROM t)
+SELECT item_id, CASE WHEN head <> 'Choose the right option for a given sentence:' THEN 'other_template' WHEN said IN (p1, p2) THEN 'blank_prefix'
+  WHEN starts_with(f1, said) OR starts_with(f2, said) THEN 'other_blank' ELSE 'no_match' END AS status FROM n""")
+def sentence_template_status(fx):
+    w = F.filter(F.split(F.translate("text", "\n", " "), " "), lambda x: x != "")
+    half = F.floor(F.size("w") / 2).cast("int")
+    t = fx.table("benchmark").select("item_id", w.alias("w")).where(F.size("w") >= 4).select(
+        "item_id", F.array_join(F.slice("w", F.lit(1), half), " ").alias("a"), F.slice("w", half + 1, F.size("w") - half).alias("bw"),
+        F.get("w", F.lit(0)).alias("o1"), F.element_at("w", -1).alias("o2")).withColumn("b", F.array_join("bw", " "))
+    k = F.col("item_id") % 5
+    sentence = F.concat("a", F.lit(" _ "), "b", F.when(k == 2, " _").otherwise(""))
+    said = (F.when(k == 0, F.concat("a", F.lit(" "), "o1")).when(k == 1, F.concat("a", F.lit("  "), "o2"))
+            .when(k == 2, F.concat("a", F.lit(" "), "o2", F.lit(" "), F.get("bw", F.lit(0)))).when(k == 3, F.concat("b", F.lit(" "), "o1")).otherwise(F.col("a")))
+    head = F.when(F.col("item_id") % 7 == 6, "Pick one:\n").otherwise(prepare.SENTENCE_HEAD)
+    problem = F.concat(head, sentence, F.lit("\nOption 1: "), "o1", F.lit("\nOption 2: "), "o2")
+    return t.select("item_id", prepare.sentence_template_status(F.concat(F.lit("given\n\n"), said), problem, False).alias("status"))
 
 
 SOURCE_SQL = """CASE WHEN source LIKE '%1' THEN 'ori_mmlu-' || source WHEN source LIKE '%2' THEN ' STEMEZ-' || source

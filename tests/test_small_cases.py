@@ -175,3 +175,40 @@ def test_audit_settings_are_checked():
     for bad in ({"dimensions": ()}, {"owner_cap": -1}, {"gap_pp": float("nan")}, {"dif_cycles": 0}):
         with pytest.raises(ValueError):
             AuditConfig(**bad).check()
+
+
+def test_matching_blocks_equal_the_standard_library():
+    import random
+    from difflib import SequenceMatcher
+
+    from evenkeel.operators.blocks import matched
+
+    r = random.Random(4)
+    for k in range(400):
+        letters = "ab" if k % 2 else "the quick brown é"
+        a, b = ("".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(2))
+        if k % 5 == 0:
+            b = a[: r.randint(0, 30)] + b + a[r.randint(0, 30) :]
+        want = SequenceMatcher(None, a, b, autojunk=False)
+        assert matched(a, b) == sum(m.size for m in want.get_matching_blocks()), (a, b)
+    assert matched("ab" * 2_000, "ab" * 2_000) == 4_000
+
+
+def test_signed_rank_tails_are_exact(spark):
+    for n in (1, 4, 9):
+        sums = [sum(k + 1 for k in range(n) if bits >> k & 1) for bits in range(1 << n)]
+        df = spark.createDataFrame([(n, float(w)) for w in range(n * (n + 1) // 2 + 1)], "n long, w double")
+        for row in df.select("w", inference.signed_rank_tail(F.col("n"), F.col("w")).alias("p")).collect():
+            assert row.p == pytest.approx(sum(s <= row.w for s in sums) / len(sums))
+    d = spark.createDataFrame([(1, x) for x in (1.0, 2.0, 3.0, 4.0, 5.0)] + [(2, 1.0), (2, 1.0), (3, 0.0), (3, 1.0)], "g long, d double")
+    got = {r.g: r.p for r in inference.wilcoxon(d, ["g"], "d").collect()}
+    assert got[1] == pytest.approx(2 / 32) and got[2] != pytest.approx(0.5) and got[3] != 1.0
+
+
+def test_strata_get_exactly_the_total(spark):
+    for sizes, fraction in (([7, 3, 2], 0.7), ([1] * 9, 0.5), ([12_032 - 31, 30, 1], 0.7), ([5], 0.2)):
+        df = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(sizes)], "s string, n long")
+        got = {r.s: r.share for r in population.apportion(df, "s", fraction).collect()}
+        total = sum(sizes) - -(-round((1 - fraction) * sum(sizes) * 10**6) // 10**6)
+        assert sum(got.values()) == total and all(abs(got[f"s{k}"] - total * n / sum(sizes)) < 1 for k, n in enumerate(sizes))
+    assert sum(r.share for r in population.apportion(spark.createDataFrame([("a", 12_000), ("b", 32)], "s string, n long"), "s", 0.7).collect()) == 8_422
