@@ -27,7 +27,7 @@ TURNS_PER_CHUNK = 256
 
 BLOCKS = "array<struct<role:string,texts:array<string>>>"
 PIECES = "array<struct<text:string,loss:boolean>>"
-MASK = "array<struct<start:bigint,length:bigint>>"
+MASK = "array<struct<start:bigint,length:bigint,first_byte:bigint,bytes:bigint>>"
 
 
 def escape(text: Column) -> Column:
@@ -78,28 +78,33 @@ def pieces(blocks: Column) -> Column:
 
 
 def spans(parts: Column) -> Column:
-    """Start and length, in characters, of the pieces under the loss; running sums in two levels."""
+    """Start and length of the pieces under the loss, in characters and in bytes; running sums in two levels."""
+    def moved(s: Column, by: Column) -> Column:
+        return F.struct((s["start"] + by["at"]).alias("start"), s["length"].alias("length"),
+                        (s["first_byte"] + by["byte"]).alias("first_byte"), s["bytes"].alias("bytes"))
+
     def run(part: Column) -> Column:
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(MASK).alias("spans"))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("byte"), F.array().cast(MASK).alias("spans"))
 
         def step(acc: Column, p: Column) -> Column:
-            n = F.length(p["text"]).cast("long")
-            here = F.array(F.struct(acc["at"].alias("start"), n.alias("length")))
-            return F.struct((acc["at"] + n).alias("at"), F.when(p["loss"], F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
+            n, size = F.length(p["text"]).cast("long"), F.octet_length(p["text"]).cast("long")
+            here = F.array(F.struct(acc["at"].alias("start"), n.alias("length"), acc["byte"].alias("first_byte"), size.alias("bytes")))
+            return F.struct((acc["at"] + n).alias("at"), (acc["byte"] + size).alias("byte"),
+                            F.when(p["loss"], F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
         return F.aggregate(part, zero, step)
 
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 256).cast("int")),
                          lambda j: run(F.slice(parts, j * 256 + 1, 256)))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{MASK}>").alias("all"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("byte"), F.array().cast(f"array<{MASK}>").alias("all"))
 
     def add(acc: Column, c: Column) -> Column:
-        moved = F.transform(c["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["length"].alias("length")))
-        return F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["all"], F.array(moved)).alias("all"))
+        return F.struct((acc["at"] + c["at"]).alias("at"), (acc["byte"] + c["byte"]).alias("byte"),
+                        F.concat(acc["all"], F.array(F.transform(c["spans"], lambda s: moved(s, acc)))).alias("all"))
     return F.flatten(F.aggregate(chunks, zero, add)["all"])
 
 
 def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans (start, length in characters of `formatted`)."""
+    """One row per conversation: conv_id, formatted, loss_spans (start, length in characters of `formatted`; first_byte, bytes in its UTF-8)."""
     turns = rows.select(F.col(f"`{conv_id}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"),
                         F.col(f"`{role}`").alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     chunks = (turns.groupBy("conv_id", F.floor(F.col("turn") / TURNS_PER_CHUNK).alias("chunk"))
@@ -129,9 +134,15 @@ def parse(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss_spans: Column) -> Column:
-    """All text under the loss mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(
-        F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """All text under the loss mask, unescaped, with nothing between.
+
+    Spans are taken by their bytes: a cut by characters would count from the start of the text for every span.
+    """
+    def texts(raw: Column) -> Column:
+        return F.transform(loss_spans, lambda s: unescape(
+            F.decode(F.substr(raw, (s["first_byte"] + 1).cast("int"), s["bytes"].cast("int")), "UTF-8")))
+    # the array of one makes the bytes once for all spans
+    return F.array_join(F.get(F.transform(F.array(F.encode(formatted, "UTF-8")), texts), F.lit(0)), "")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

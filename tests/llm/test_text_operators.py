@@ -142,6 +142,17 @@ def test_chats_are_read_back(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_loss_spans_count_characters_and_bytes(spark):
+    texts = [f"ü{k}\U0001f600</s>{'語' * (k % 7)}" for k in range(600)]
+    df = spark.createDataFrame([(1, k, "assistant" if k % 3 else "user", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_chats(df)
+    r = formatted.withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).first()
+    assert r.loss == "".join(t for k, t in enumerate(texts) if k % 3)
+    raw = r.formatted.encode()
+    for s in r.loss_spans:
+        assert r.formatted[s.start : s.start + s.length] == raw[s.first_byte : s.first_byte + s.bytes].decode()
+
+
 def best_path(word, scores, unknown):
     best = [(0.0, 0)]
     for end in range(1, len(word) + 1):
