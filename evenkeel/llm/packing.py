@@ -1,11 +1,12 @@
 """Best-fit packing of tokenized documents with large-item matching.
 
 Only lengths matter to the packing, so it is solved on their histogram, which has at most
-`capacity` rows whatever the corpus: documents of more than a third of the capacity pair up
-at most twice per bin, greedily, largest first with the largest partner that fits; a pair or
-single then takes the best-fitting smaller ones. Equal bins are built as one pattern with a
-count. Each document then finds its bin by its rank among the documents of its length; ranks
-come from counts per hash bucket, so that a length shared by a third of all rows is spread.
+`capacity` rows whatever the corpus: documents of more than a third of the capacity are matched
+greedily, largest first with the largest partner that fits, two in a bin at most; the smaller
+ones, largest first, go to the smallest gap of all open bins that they fit. Equal bins are kept
+as one pattern with a count. Each document then finds its bin by its rank among the documents of
+its length; ranks come from counts per hash bucket, so that a length shared by a third of all
+rows is spread.
 
 Null and empty texts are one piece that holds the end id only. Repeated rows and repeated
 doc_ids are packed one by one; a null doc_id stays null. Empty tables give no rows; other
@@ -17,7 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -156,72 +157,86 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: t
     return rows.mapInArrow(run, PIECES + ", ids array<int>" * ids)
 
 
-class Lengths:
-    """Counts by length with the largest length not above a limit."""
+Pattern = tuple[int, ...]
 
-    def __init__(self, counts: dict[int, int]):
-        self.count = dict(counts)
-        self.order = sorted(counts)
 
-    def largest(self, limit: int, need: dict[int, int]) -> int | None:
-        """The largest length up to the limit that is left beside the needed ones."""
-        k = bisect_right(self.order, limit)
-        while k and self.count[self.order[k - 1]] <= need.get(self.order[k - 1], 0):
-            k -= 1
-        return self.order[k - 1] if k else None
-
-    def best_two(self, limit: int, need: dict[int, int]) -> tuple[int, int] | None:
-        """The two lengths with the largest sum up to the limit, the larger one first."""
-        best: tuple[int, int] | None = None
-        for a in reversed(self.order[: bisect_right(self.order, limit)]):
-            if best and 2 * a <= sum(best):
-                break
-            if self.count[a] > need.get(a, 0):
-                b = self.largest(min(a, limit - a), {**need, a: need.get(a, 0) + 1})
-                if b is not None and (best is None or a + b > sum(best)):
-                    best = (a, b)
-                    if a + b == limit:
-                        break
-        return best
+def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
+    """Patterns of a bin (its lengths) with the number of such bins: large documents are matched, the others fill the gaps."""
+    large = {n: c for n, c in counts.items() if c and 3 * n > capacity}
+    small = {n: c for n, c in counts.items() if c and 3 * n <= capacity}
+    return best_fit(match_large(large, capacity), small, capacity)
 
-    def take(self, length: int, n: int) -> None:
-        self.count[length] -= n
-        if not self.count[length]:
-            del self.order[bisect_right(self.order, length) - 1]
 
+def match_large(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """Greedy matching: the largest document left takes the largest partner that fits, if any; two in a bin at most.
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of a bin (its lengths) with the number of such bins; the better of two ways to fill a gap."""
-    return min((fill(counts, capacity, two) for two in (False, True)), key=lambda found: sum(times for _, times in found))
+    Each step uses up a length, or all of it but one document, so the patterns are few, however large the counts.
+    """
+    left, order, found = dict(counts), sorted(counts), []
+    while order:
+        n = order[-1]
+        k = bisect_right(order, capacity - n)
+        # the last place is the document's own length, of which another one is needed
+        if k == len(order) and left[n] == 1:
+            k -= 1
+        partner = order[k - 1] if k else None
+        if partner is None:
+            pattern, times = (n,), left[n]
+        elif partner == n:
+            pattern, times = (n, n), left[n] // 2
+        else:
+            pattern, times = (n, partner), min(left[n], left[partner])
+        found.append((pattern, times))
+        for x in pattern:
+            left[x] -= times
+            if not left[x]:
+                del left[x], order[bisect_right(order, x) - 1]
+    return found
 
 
-def fill(counts: dict[int, int], capacity: int, two: bool) -> list[tuple[tuple[int, ...], int]]:
-    """A bin starts with the largest document left and is filled by the best fit, again and again.
+def best_fit(bins: list[tuple[Pattern, int]], counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
+    """`bins` with the documents of `counts` added: largest first, each to the smallest gap it fits, else to a new bin.
 
-    The best fit is the largest document that fits the gap, so that a document above a third
-    of the capacity is matched to the largest such one; with `two`, it is the larger one of
-    the two documents that together fill the gap better, if there are such. Each step uses up
-    a length or all but one of it, so the patterns are few, however large the counts.
+    Bins of the same gap are kept as one group of patterns. A length fills the bins of a gap as often as it fits,
+    so it splits one pattern at most twice.
     """
-    left = Lengths({n: c for n, c in counts.items() if c})
-    found: list[tuple[tuple[int, ...], int]] = []
-    while left.order:
-        pattern, need, gap = [], {}, capacity
-        while gap:
-            n = left.largest(gap, need)
-            if n is not None and two and pattern and n < gap:
-                pair = left.best_two(gap, need)
-                n = pair[0] if pair and sum(pair) > n else n
-            if n is None:
+    gaps: dict[int, list[tuple[Pattern, int]]] = {}
+    for pattern, times in bins:
+        gaps.setdefault(capacity - sum(pattern), []).append((pattern, times))
+    order = sorted(gaps)
+
+    def put(pattern: Pattern, times: int) -> None:
+        gap = capacity - sum(pattern)
+        if gap not in gaps:
+            gaps[gap] = []
+            insort(order, gap)
+        gaps[gap].append((pattern, times))
+
+    for n in sorted(counts, reverse=True):
+        left = counts[n]
+        while left:
+            k = bisect_left(order, n)
+            if k == len(order):
+                each = capacity // n
+                put((n,) * each, left // each) if left >= each else None
+                if left % each:
+                    put((n,) * (left % each), 1)
                 break
-            pattern.append(n)
-            need[n] = need.get(n, 0) + 1
-            gap -= n
-        times = min(left.count[n] // c for n, c in need.items())
-        for n, c in need.items():
-            left.take(n, c * times)
-        found.append((tuple(pattern), times))
-    return found
+            gap = order[k]
+            pattern, times = gaps[gap].pop()
+            if not gaps[gap]:
+                del gaps[gap], order[k]
+            each = gap // n
+            full = min(times, left // each)
+            rest = min(each, left - full * each) if full < times else 0
+            if full:
+                put(pattern + (n,) * each, full)
+            if rest:
+                put(pattern + (n,) * rest, 1)
+            if times > full + bool(rest):
+                put(pattern, times - full - bool(rest))
+            left -= full * each + rest
+    return [found for gap in order for found in gaps[gap]]
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
