@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators import prepare
 from ..session import cut, shared_folder
-from ..sources import contracts, tables
+from ..sources import arrays, contracts, tables
 from .fixture import BENCHMARKS, FOLD, N_ITEMS, Fixture
 from .registry import query, rounded
 
@@ -36,6 +36,26 @@ def wide_to_long(fx):
     return tables.wide_to_long(wide, ["model_id"], BENCHMARKS, "benchmark", "hits")
 
 
+@query("array_round_trip", "SELECT benchmark, item_id, model_id, y FROM fx_resp")
+def array_round_trip(fx):
+    """The outcome matrix, items of all benchmarks by models, written as array files and read back by ranges of rows."""
+    models = cut(tables.merge_sources([fx.pop.select(F.col("model_id").cast("string").alias("name"), F.col("model_id").alias("position"))])
+                 .select(F.col("name").cast("bigint").alias("model_id"), F.col("model_index").cast("int").alias("position")))
+    # a cell that is not there is -1
+    row = F.array_position(F.array(*map(F.lit, BENCHMARKS)), F.col("benchmark")).cast("bigint") - 1
+    grid = fx.spark.range(len(BENCHMARKS) * N_ITEMS).select(F.col("id").alias("row"))
+    given = (fx.resp.join(models, "model_id").groupBy((row * N_ITEMS + F.col("item_id")).alias("row"))
+             .agg(F.map_from_entries(F.collect_list(F.struct("position", "y"))).alias("ys")))
+    width = models.count()
+    values = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at("ys", k), F.lit(-1)))
+    path = f"{_folder(fx)}/responses"
+    arrays.write_npy(grid.join(given, "row", "left").select("row", values.alias("values")), path)
+    cells = arrays.read_npy(fx.spark, path, partition_bytes=32_768).where("value >= 0")
+    return cells.join(models, F.col("column") == F.col("position")).select(
+        F.element_at(F.array(*map(F.lit, BENCHMARKS)), (F.floor(F.col("row") / N_ITEMS) + 1).cast("int")).alias("benchmark"),
+        (F.col("row") % N_ITEMS).alias("item_id"), "model_id", F.col("value").cast("int").alias("y"))
+
+
 @query("packed_to_long", "SELECT benchmark, item_id, model_id, y FROM fx_resp")
 def packed_to_long(fx):
     named = fx.pop.select(F.col("model_id").cast("string").alias("name"), F.col("model_id").alias("position"))

@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions.ranks import bucketed_row_number
+from ..session import cut
 
 RESPONSES = T.StructType([
     T.StructField("benchmark", T.StringType()), T.StructField("item_id", T.LongType()),
@@ -39,6 +41,21 @@ def read_responses(spark: SparkSession, responses: str, models: str, items: str)
     return facts.join(read_table(spark, models, MODELS), "model_id").join(read_table(spark, items, ITEMS), "item_id")
 
 
+def file_rows(spark: SparkSession, path: str, position: str, names: Sequence[str]) -> DataFrame:
+    """Rows of one CSV file, as strings, with their place in it from 0.
+
+    A block of the file is read in order by one task, so a place is the rows of the blocks before and the place in
+    the block; nothing is sorted as a whole.
+    """
+    raw = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+    require_columns(raw, names)
+    rows = cut(raw.select(*names, F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")))
+    blocks = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    starts = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(starts), "_block").select(
+        (F.col("_before") + F.col("_id") - F.col("_first")).alias(position), *names)
+
+
 def require_columns(df: DataFrame, needed: Sequence[str]) -> DataFrame:
     missing = sorted(set(needed) - set(df.columns))
     if missing:
