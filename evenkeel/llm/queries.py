@@ -25,8 +25,8 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_sentencepiece_lattice")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    coded = sentencepiece.encode(table(spark, folder, "documents").select("doc_id", "text"))
-    back = sentencepiece.decode(coded.select("doc_id", "ids"))
+    coded = sentencepiece.encode(table(spark, folder, "documents"), keep=["doc_id"])
+    back = sentencepiece.decode(coded)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

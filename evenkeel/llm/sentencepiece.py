@@ -1,39 +1,50 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut into words: a run of space marks with what follows, since no piece of the
-vocabulary goes on from another character into a space mark. Each distinct word is encoded
-once: its substrings up to the longest piece are exploded and equi-joined to the piece table
-(as many rows as the vocabulary, so it is broadcast), the edges are grouped by word, and a
-Spark higher-order `aggregate` folds them into the best segmentation. Words then join back
-to their places in the texts.
+Texts are cut into words at places no piece of the vocabulary reaches over: before a run of
+space marks and, where the vocabulary allows it, between letters, digits and other characters.
+Each distinct word is encoded once: its substrings up to the longest piece are exploded and
+equi-joined to the piece table (as many rows as the vocabulary, so it is broadcast), the edges
+are grouped by word, and a Spark higher-order `aggregate` folds them into the best segmentation.
+
+Occurrences of words are not shuffled: rows are read in batches of bounded size, in which a text
+is the numbers of its words; only the distinct words of a batch meet the word table, and the
+ids come back to the batch as one array, in which the numbers are looked up.
 
 Two folds, by the kind of the model: for unigram models Viterbi over the end positions (best
 score, ties to the longer last piece); for byte-pair models the best-scored adjacent pair is
 merged again and again, leftmost first, because the path of the best score sum is not what
-such models mean. Characters without a piece become byte pieces, or the unknown id.
+such models mean. Cuts are the bits of a number there, and edges that lost an end are dropped.
+Characters without a piece become byte pieces, or the unknown id.
 
 Words beyond `LONG` characters, for which the fold would be quadratic, are merged with a heap
 in a pandas UDF; the results are the same. Unigram models handle them by the fold.
 
-Null texts have null ids, empty ones no ids. Every row is kept: rows are numbered inside, so
-that repeated rows and doc_ids don't mix. Empty tables give no rows; other columns pass
+Null texts have null ids, empty ones no ids. Every row is kept, repeated ones too. Empty tables give no rows; other columns pass
 through, and the added names get a number if they are taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import fresh
+from .common import fresh, give_back
 
 SPACE = "▁"
 WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+CLASSES = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*\p{{Nd}}+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}\p{{Nd}}]+|{SPACE}+"
+BATCH_ROWS, BATCH_CHARS = 8_192, 8 << 20  # a batch ends with the row that reaches either
+ASCII = 128
 LONG = 48
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as in the library
 
@@ -62,6 +73,10 @@ class Vocabulary:
         self.longest = max(len(p) for p, _, _ in self.pieces)
         self.lowest = min(s for _, _, s in self.pieces)
         self.size = len(model.pieces)
+        self.word = CLASSES if all(regex.fullmatch(CLASSES, p) for p, _, _ in self.pieces) else WORD
+        # pieces by falling score; equal scores share a rank
+        ranks = {s: k for k, s in enumerate(sorted({s for _, _, s in self.pieces}, reverse=True))}
+        self.ranked = [(p, (ranks[s] << 32) + i) for p, i, s in self.pieces]
         # what an id stands for: bytes in hex; control pieces stand for nothing
         self.surface = [(i, p.piece[3:5] if p.type == 6 else " ⁇ ".encode().hex() if p.type == 2 else
                          "" if p.type == 3 else p.piece.replace(SPACE, " ").encode().hex()) for i, p in enumerate(model.pieces)]
@@ -78,11 +93,6 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def escaped(text: Column, prefix: bool) -> Column:
-    marked = F.translate(text, " ", SPACE)
-    return F.when(text == "", text).otherwise(F.concat(F.lit(SPACE), marked) if prefix else marked)
-
-
 def edge(edges: Column, start: Column, length: Column) -> Column:
     return F.try_element_at(edges, start * 64 + length)
 
@@ -92,21 +102,31 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def merge_fold(n: Column, edges: Column, longest: int) -> Column:
-    """Boundaries left after merging the best adjacent pair until none is a piece."""
-    zero = F.struct(F.sequence(F.lit(0), n).alias("cuts"), F.lit(True).alias("on"))
+def merge_fold(n: Column, edges: Column) -> Column:
+    """Boundaries left after merging the best adjacent pair until none is a piece.
+
+    Bit k of `cuts` says that a boundary is left at k. An edge can be merged while its ends are left and just one
+    boundary is between them; it is dropped when an end has gone or nothing is left between.
+    """
+    def merge(cuts: Column, live: Column) -> Column:
+        ready = F.filter(live, lambda e: bit_free(cuts.bitwiseAND(e["inner"])) == 0)
+        return bound(F.array_min(ready), lambda best: F.when(best.isNull(), F.struct(cuts.alias("cuts"), F.slice(live, 1, 0).alias("live")))
+                     .otherwise(F.struct(cuts.bitwiseAND(F.bitwise_not(best["inner"])).alias("cuts"), live.alias("live"))))
+
+    def bit_free(x: Column) -> Column:
+        """`x` without its lowest bit."""
+        return x.bitwiseAND(x - 1)
 
     def step(acc: Column, _: Column) -> Column:
-        cuts = acc["cuts"]
-        pairs = F.transform(F.sequence(F.lit(0), F.size(cuts) - 3), lambda i: F.struct(
-            (-edge(edges, F.get(cuts, i), F.get(cuts, i + 2) - F.get(cuts, i))["score"]).alias("cost"), i.alias("i")))
-        def merge(best: Column) -> Column:
-            shorter = F.concat(F.slice(cuts, 1, best["i"] + 1), F.slice(cuts, best["i"] + 3, F.size(cuts)))
-            return F.when(best.isNull(), F.struct(cuts.alias("cuts"), F.lit(False).alias("on"))).otherwise(
-                F.struct(shorter.alias("cuts"), F.lit(True).alias("on")))
-        merged = bound(F.array_min(F.filter(pairs, lambda p: p["cost"].isNotNull())), merge)
-        return F.when(acc["on"] & (F.size(cuts) > 2), merged).otherwise(acc)
-    return F.aggregate(F.sequence(F.lit(1), n), zero, step)["cuts"]
+        live = F.filter(acc["live"], lambda e: (acc["cuts"].bitwiseAND(e["ends"]) == e["ends"]) & (acc["cuts"].bitwiseAND(e["inner"]) != 0))
+        return F.when(F.size(acc["live"]) == 0, acc).otherwise(bound(live, lambda x: merge(acc["cuts"], x)))
+    zero = F.struct((bit(n + 1) - 1).alias("cuts"), edges.alias("live"))
+    cuts = F.aggregate(F.sequence(F.lit(1), n), zero, step)["cuts"]
+    return bound(cuts, lambda c: F.filter(F.sequence(F.lit(0), n), lambda k: c.bitwiseAND(bit(k)) != 0))
+
+
+def bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k.cast("int"))
 
 
 def viterbi_fold(n: Column, edges: Column, longest: int, unknown: float) -> Column:
@@ -131,47 +151,91 @@ def viterbi_fold(n: Column, edges: Column, longest: int, unknown: float) -> Colu
 
 def segment_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     """word, ids of distinct words (`word`), none of them empty or null."""
+    if not vocab.bpe:
+        return viterbi_words(words, vocab)
+    n = F.char_length("word")
+    scores = {p: (s, i) for p, i, s in vocab.pieces}
+
+    def long_words(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: merge_with_heap(w, scores, vocab))
+    rest = words.where(n > LONG).select("word", F.pandas_udf(long_words, T.ArrayType(T.IntegerType()))("word").alias("ids"))
+    return merged_words(words.where(n <= LONG), vocab).unionByName(rest)
+
+
+def substrings(words: DataFrame, longest: int) -> DataFrame:
+    starts = words.withColumn("n", F.char_length("word"))
+    starts = starts.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    strings = starts.select("word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("length"))
+    return strings.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("length")))
+
+
+def other_ids(text: Column, vocab: Vocabulary) -> Column:
+    """Ids of a character that is no piece."""
+    if not vocab.fallback:
+        return F.array(F.lit(vocab.unknown))
+    code = F.hex(F.encode(text, "UTF-8"))
+    return F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda k: F.get(
+        F.array(*map(F.lit, vocab.bytes)), F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+
+
+def merged_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Words of at most `LONG` characters by merges. An edge is a number: rank, start, length and id of its piece.
+
+    The ids of ASCII characters and of the space mark are in the plan; edges of one character are joined for others only.
+    """
     spark = words.sparkSession
-    pieces = spark.createDataFrame(vocab.pieces, "piece string, id int, score double").coalesce(1)
-    unknown = vocab.lowest - UNKNOWN_PENALTY
+    if vocab.size >= 1 << 20:
+        raise ValueError("vocabularies of 2^20 pieces or more are not supported")
+    pieces = spark.createDataFrame(vocab.ranked, "piece string, code long").coalesce(1)
+    one = {p: i for p, i, _ in vocab.pieces if len(p) == 1}
+    plain = F.array(*[F.lit(one.get(chr(k))).cast("int") for k in range(ASCII)])
+    strings = substrings(words, vocab.longest)
+    # the first character's row is always kept, so that no word is lost
+    known = (F.ascii("piece") < ASCII) | (F.col("piece") == SPACE)
+    strings = strings.where((F.col("length") > 1) | (F.col("start") == 0) | ~known)
+    at = F.col("start") * (1 << 26) + F.col("length") * (1 << 20)
+    edges = (strings.join(F.broadcast(pieces), "piece", "left").where(F.col("code").isNotNull() | (F.col("start") == 0))
+             .select("word", (F.col("code") + at).alias("edge")).groupBy("word").agg(F.collect_list("edge").alias("edges")))
+    start = lambda e: F.shiftright(e, 26).bitwiseAND(63)
+    length = lambda e: F.shiftright(e, 20).bitwiseAND(63)
+
+    def marked(e: Column) -> Column:
+        return F.struct(e.alias("edge"), (F.call_function("shiftleft", bit(length(e) - 1) - 1, (start(e) + 1).cast("int"))).alias("inner"),
+                        (bit(start(e)).bitwiseOR(bit(start(e) + length(e)))).alias("ends"))
+    pairs = F.transform(F.filter("edges", lambda e: length(e) > 1), marked)
     n = F.char_length("word")
-    numbered = words.withColumn("n", n)
-    if vocab.bpe:
-        rest, numbered = numbered.where(n > LONG), numbered.where(n <= LONG)
-    starts = numbered.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    strings = starts.select("word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocab.longest), F.col("n") - F.col("start")))).alias("length"))
-    strings = strings.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("length")))
-    edges = (strings.join(F.broadcast(pieces), "piece")
-             .groupBy("word", "n").agg(F.map_from_entries(F.collect_list(F.struct((F.col("start") * 64 + F.col("length")).alias("at"),
-                                                                                 F.struct("score", "id").alias("piece")))).alias("edges")))
+
+    def ids(first: Column, stop: Column) -> Column:
+        text = F.substr("word", first + 1, stop - first)
+        place = first * 64 + stop - first
+        joined = F.get(F.filter("edges", lambda e: F.shiftright(e, 20).bitwiseAND(4095) == place), F.lit(0)).bitwiseAND((1 << 20) - 1).cast("int")
+        code = F.when(stop - first > 1, joined).when(text == SPACE, F.lit(one.get(SPACE)).cast("int")).when(
+            F.ascii(text) < ASCII, F.get(plain, F.ascii(text))).otherwise(joined)
+        return bound(code, lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(other_ids(text, vocab)))
+
+    def all_ids(cuts: Column) -> Column:
+        return F.flatten(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), ids))
+    return edges.select("word", bound(merge_fold(n, pairs), all_ids).alias("ids"))
+
+
+def viterbi_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
+    pieces = words.sparkSession.createDataFrame(vocab.pieces, "piece string, id int, score double").coalesce(1)
+    edges = (substrings(words, vocab.longest).join(F.broadcast(pieces), "piece")
+             .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct((F.col("start") * 64 + F.col("length")).alias("at"),
+                                                                            F.struct("score", "id").alias("piece")))).alias("edges")))
     # words of unknown characters alone have no edge
-    edges = numbered.join(edges.select("word", "edges"), "word", "left").withColumn(
+    edges = words.join(edges, "word", "left").withColumn(
         "edges", F.coalesce("edges", F.create_map().cast("map<int,struct<score:double,id:int>>")))
-    size, table = F.col("n"), F.col("edges")
-    fold = merge_fold(size, table, vocab.longest) if vocab.bpe else viterbi_fold(size, table, vocab.longest, unknown)
-    byte_ids = F.array(*map(F.lit, vocab.bytes)) if vocab.fallback else None
+    table = F.col("edges")
+    fold = viterbi_fold(F.char_length("word"), table, vocab.longest, vocab.lowest - UNKNOWN_PENALTY)
 
     def ids(start: Column, end: Column) -> Column:
-        length = end - start
-        known = edge(table, start, length)["id"]
-        if byte_ids is None:
-            other = F.array(F.lit(vocab.unknown))
-        else:
-            code = F.hex(F.encode(F.substr("word", start + 1, length), "UTF-8"))
-            other = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")),
-                                lambda k: F.get(byte_ids, F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-        return F.when(known.isNotNull(), F.array(known)).otherwise(other)
-    def all_ids(cuts: Column) -> Column:
-        ends = F.slice(cuts, 2, F.size(cuts) - 1)
-        return F.flatten(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), ends, ids))
-    done = edges.select("word", bound(fold, all_ids).alias("ids"))
-    if not vocab.bpe:
-        return done
-    scores = {p: (s, i) for p, i, s in vocab.pieces}
+        known = edge(table, start, end - start)["id"]
+        return F.when(known.isNotNull(), F.array(known)).otherwise(other_ids(F.substr("word", start + 1, end - start), vocab))
 
-    def long_words(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: merge_with_heap(w, scores, vocab))
-    return done.unionByName(rest.select("word", F.pandas_udf(long_words, T.ArrayType(T.IntegerType()))("word").alias("ids")))
+    def all_ids(cuts: Column) -> Column:
+        return F.flatten(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), ids))
+    return edges.select("word", bound(fold, all_ids).alias("ids"))
 
 
 def merge_with_heap(word: str, scores: dict[str, tuple[float, int]], vocab: Vocabulary) -> list[int]:
@@ -202,34 +266,69 @@ def merge_with_heap(word: str, scores: dict[str, tuple[float, int]], vocab: Voca
     return out
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` and the token ids of `text`."""
+def batches(docs: DataFrame, text: str, keep: Sequence[str], vocab: Vocabulary) -> DataFrame:
+    """A row per batch: batch, its distinct words, and its rows, each with the numbers of its words there (null: no text)."""
+    kept = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)])
+    row = T.StructType([*kept.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())),
+                           T.StructField("rows", T.ArrayType(row))])
+    word, prefix = vocab.word, SPACE if vocab.prefix else ""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(word).findall
+        number = TaskContext.get().partitionId() << 32
+        for part in parts:
+            start, chars, seen, codes = 0, 0, {}, []
+            texts = part.column(0)
+            for k in range(part.num_rows):
+                value = texts[k].as_py()
+                if value is None:
+                    codes.append(None)
+                else:
+                    marked = prefix + value.replace(" ", SPACE) if value else ""
+                    codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in find(marked)), np.int32))
+                    chars += len(value)
+                if chars >= BATCH_CHARS or len(codes) == BATCH_ROWS or k + 1 == part.num_rows:
+                    inner = pa.array(codes, pa.list_(pa.int32()))
+                    columns = [*[c for c in part.slice(start, len(codes)).columns[1:]], inner]
+                    rows = pa.StructArray.from_arrays(columns, [f.name for f in row.fields])
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([list(seen)], pa.list_(pa.string())),
+                                                      pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), rows)], ["batch", "words", "rows"])
+                    number, start, chars, seen, codes = number + 1, k + 1, 0, {}, []
+        give_back()
+
+    columns = [F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]]
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
+    """`docs`, or the columns of it in `keep`, and the token ids of `text`."""
     vocab = vocabulary(path or default_path())
-    row, out = fresh(docs, "_row"), fresh(docs, ids)
-    # numbered rows are written, so that a task that is run again sees the same numbers
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    words = F.regexp_extract_all(escaped(F.col(f"`{text}`"), vocab.prefix), F.lit(WORD), F.lit(0))
-    places = rows.where(F.col(f"`{text}`") != "").select(F.col(row).alias("row"), F.posexplode(words).alias("at", "word"))
+    keep, out = docs.columns if keep is None else list(keep), fresh(docs, ids)
+    # written, so that a task that is run again sees the same numbers
+    held = cut(batches(docs, text, keep, vocab))
+    places = held.select("batch", F.posexplode("words").alias("at", "word"))
+    # a word may be in all batches: its ids are joined, not collected
     table = cut(segment_words(places.select("word").distinct(), vocab))
-    found = (places.join(table, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
-             .select(F.col("row").alias(row), F.flatten(F.transform("p", lambda x: x["ids"])).alias(out)))
-    joined = rows.join(found, row, "left")
-    value = F.when(F.col(f"`{text}`").isNotNull(), F.coalesce(F.col(out), F.array().cast("array<int>")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], value.alias(out))
+    found = (places.join(table, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
+             .select("batch", F.transform("p", lambda x: x["ids"]).alias("found")))
+    joined = held.select("batch", "rows").join(found, "batch", "left")
+    coded = F.transform("rows", lambda r: F.struct(*[r[f"c{k}"].alias(f"c{k}") for k in range(len(keep))], F.flatten(
+        F.transform(r["codes"], lambda k: F.get("found", k))).alias("ids")))
+    rows = joined.select(F.explode(coded).alias("r"))
+    return rows.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(keep)], F.col("r.ids").alias(out))
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """`docs` and the text that the token ids stand for; ids outside the vocabulary raise an error, null ids give null."""
+    """`docs` and the text that the token ids stand for; ids outside the vocabulary raise an error, null ids give null.
+
+    The surfaces are one array of as many entries as the vocabulary, so nothing is shuffled.
+    """
     vocab = vocabulary(path or default_path())
-    row, out = fresh(docs, "_row"), fresh(docs, text)
-    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    surface = docs.sparkSession.createDataFrame(vocab.surface, "id int, hex string").coalesce(1)
-    places = rows.select(F.col(row).alias("row"), F.posexplode(F.col(f"`{ids}`")).alias("at", "id"))
-    known = places.join(F.broadcast(surface), "id", "left").withColumn(
-        "hex", F.coalesce("hex", F.raise_error(F.concat(F.lit("no piece has id "), F.coalesce(F.col("id").cast("string"), F.lit("null"))))))
-    texts = (known.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "hex"))).alias("p"))
-             .select(F.col("row").alias(row), F.decode(F.unhex(F.array_join(F.transform("p", lambda x: x["hex"]), "")), "UTF-8").alias(out)))
-    joined = rows.join(texts, row, "left")
-    plain = F.regexp_replace(F.col(out), "^ ", "") if vocab.prefix else F.col(out)
-    value = F.when(F.col(f"`{ids}`").isNotNull(), F.coalesce(plain, F.lit("")))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], value.alias(out))
+    out = fresh(docs, text)
+    # the plan holds one string, which the optimizer turns into an array once
+    surfaces = F.split(F.lit(",".join(h for _, h in vocab.surface)), ",", -1)
+    known = F.transform(F.col(f"`{ids}`"), lambda i: F.coalesce(F.get(surfaces, i), F.raise_error(
+        F.concat(F.lit("no piece has id "), F.coalesce(i.cast("string"), F.lit("null"))))))
+    whole = F.decode(F.unhex(F.array_join(known, "")), "UTF-8")
+    return docs.withColumn(out, F.regexp_replace(whole, "^ ", "") if vocab.prefix else whole)
