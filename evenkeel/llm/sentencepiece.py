@@ -6,9 +6,9 @@ Each distinct word is encoded once: its substrings up to the longest piece are e
 equi-joined to the piece table (as many rows as the vocabulary, so it is broadcast), the edges
 are grouped by word, and a Spark higher-order `aggregate` folds them into the best segmentation.
 
-Occurrences of words are not shuffled: rows are read in batches of bounded size, in which a text
-is the numbers of its words; only the distinct words of a batch meet the word table, and the
-ids come back to the batch as one array, in which the numbers are looked up.
+Occurrences of words are not shuffled one by one: rows are read in batches of bounded size, in which a
+text is the numbers of its words, packed; only the distinct words of a batch meet the encoded words (one
+shuffle serves both), and their ids come back to the batch, where the numbers are looked up.
 
 Two folds, by the kind of the model: for unigram models Viterbi over the end positions (best
 score, ties to the longer last piece); for byte-pair models the best-scored adjacent pair is
@@ -17,7 +17,7 @@ such models mean. Cuts are the bits of a number there, and edges that lost an en
 Characters without a piece become byte pieces, or the unknown id.
 
 Words beyond `LONG` characters, for which the fold would be quadratic, are merged with a heap
-in a pandas UDF; the results are the same. Unigram models handle them by the fold.
+where the batch is read; the results are the same. Unigram models handle them by the fold.
 
 Null texts have null ids, empty ones no ids. Every row is kept, repeated ones too. Empty tables give no rows; other columns pass
 through, and the added names get a number if they are taken.
@@ -29,9 +29,9 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +44,7 @@ SPACE = "▁"
 WORD = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
 CLASSES = rf"{SPACE}*[\p{{L}}\p{{M}}]+|{SPACE}*\p{{Nd}}+|{SPACE}*[^{SPACE}\p{{L}}\p{{M}}\p{{Nd}}]+|{SPACE}+"
 BATCH_ROWS, BATCH_CHARS = 8_192, 8 << 20  # a batch ends with the row that reaches either
+PARTITION, GROUP = 32, 10  # batches are numbered by partition from the bit PARTITION; 2^GROUP partitions share their words
 ASCII = 128
 LONG = 48
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as in the library
@@ -149,23 +150,15 @@ def viterbi_fold(n: Column, edges: Column, longest: int, unknown: float) -> Colu
     return bound(F.aggregate(F.sequence(F.lit(1), n), zero, step), trace)
 
 
-def segment_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """word, ids of distinct words (`word`), none of them empty or null."""
-    if not vocab.bpe:
-        return viterbi_words(words, vocab)
-    n = F.char_length("word")
-    scores = {p: (s, i) for p, i, s in vocab.pieces}
-
-    def long_words(s: pd.Series) -> pd.Series:
-        return s.map(lambda w: merge_with_heap(w, scores, vocab))
-    rest = words.where(n > LONG).select("word", F.pandas_udf(long_words, T.ArrayType(T.IntegerType()))("word").alias("ids"))
-    return merged_words(words.where(n <= LONG), vocab).unionByName(rest)
+def segment_words(words: DataFrame, vocab: Vocabulary, keys: Sequence[str] = ()) -> DataFrame:
+    """`keys`, word, ids of distinct words (`word`), none of them empty or null; for byte-pair models none beyond `LONG` characters."""
+    return merged_words(words, vocab, list(keys)) if vocab.bpe else viterbi_words(words, vocab, list(keys))
 
 
-def substrings(words: DataFrame, longest: int) -> DataFrame:
+def substrings(words: DataFrame, longest: int, keys: Sequence[str]) -> DataFrame:
     starts = words.withColumn("n", F.char_length("word"))
-    starts = starts.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    strings = starts.select("word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("length"))
+    starts = starts.select(*keys, "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    strings = starts.select(*keys, "word", "n", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("length"))
     return strings.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("length")))
 
 
@@ -178,7 +171,7 @@ def other_ids(text: Column, vocab: Vocabulary) -> Column:
         F.array(*map(F.lit, vocab.bytes)), F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
-def merged_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
+def merged_words(words: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
     """Words of at most `LONG` characters by merges. An edge is a number: rank, start, length and id of its piece.
 
     The ids of ASCII characters and of the space mark are in the plan; edges of one character are joined for others only.
@@ -189,13 +182,13 @@ def merged_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     pieces = spark.createDataFrame(vocab.ranked, "piece string, code long").coalesce(1)
     one = {p: i for p, i, _ in vocab.pieces if len(p) == 1}
     plain = F.array(*[F.lit(one.get(chr(k))).cast("int") for k in range(ASCII)])
-    strings = substrings(words, vocab.longest)
+    strings = substrings(words, vocab.longest, keys)
     # the first character's row is always kept, so that no word is lost
     known = (F.ascii("piece") < ASCII) | (F.col("piece") == SPACE)
     strings = strings.where((F.col("length") > 1) | (F.col("start") == 0) | ~known)
     at = F.col("start") * (1 << 26) + F.col("length") * (1 << 20)
     edges = (strings.join(F.broadcast(pieces), "piece", "left").where(F.col("code").isNotNull() | (F.col("start") == 0))
-             .select("word", (F.col("code") + at).alias("edge")).groupBy("word").agg(F.collect_list("edge").alias("edges")))
+             .select(*keys, "word", (F.col("code") + at).alias("edge")).groupBy(*keys, "word").agg(F.collect_list("edge").alias("edges")))
     start = lambda e: F.shiftright(e, 26).bitwiseAND(63)
     length = lambda e: F.shiftright(e, 20).bitwiseAND(63)
 
@@ -215,16 +208,16 @@ def merged_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def all_ids(cuts: Column) -> Column:
         return F.flatten(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), ids))
-    return edges.select("word", bound(merge_fold(n, pairs), all_ids).alias("ids"))
+    return edges.select(*keys, "word", bound(merge_fold(n, pairs), all_ids).alias("ids"))
 
 
-def viterbi_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
+def viterbi_words(words: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFrame:
     pieces = words.sparkSession.createDataFrame(vocab.pieces, "piece string, id int, score double").coalesce(1)
-    edges = (substrings(words, vocab.longest).join(F.broadcast(pieces), "piece")
-             .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct((F.col("start") * 64 + F.col("length")).alias("at"),
+    edges = (substrings(words, vocab.longest, keys).join(F.broadcast(pieces), "piece")
+             .groupBy(*keys, "word").agg(F.map_from_entries(F.collect_list(F.struct((F.col("start") * 64 + F.col("length")).alias("at"),
                                                                             F.struct("score", "id").alias("piece")))).alias("edges")))
     # words of unknown characters alone have no edge
-    edges = words.join(edges, "word", "left").withColumn(
+    edges = words.join(edges, [*keys, "word"], "left").withColumn(
         "edges", F.coalesce("edges", F.create_map().cast("map<int,struct<score:double,id:int>>")))
     table = F.col("edges")
     fold = viterbi_fold(F.char_length("word"), table, vocab.longest, vocab.lowest - UNKNOWN_PENALTY)
@@ -235,7 +228,7 @@ def viterbi_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def all_ids(cuts: Column) -> Column:
         return F.flatten(F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), ids))
-    return edges.select("word", bound(fold, all_ids).alias("ids"))
+    return edges.select(*keys, "word", bound(fold, all_ids).alias("ids"))
 
 
 def merge_with_heap(word: str, scores: dict[str, tuple[float, int]], vocab: Vocabulary) -> list[int]:
@@ -267,56 +260,122 @@ def merge_with_heap(word: str, scores: dict[str, tuple[float, int]], vocab: Voca
 
 
 def batches(docs: DataFrame, text: str, keep: Sequence[str], vocab: Vocabulary) -> DataFrame:
-    """A row per batch: batch, its distinct words, and its rows, each with the numbers of its words there (null: no text)."""
-    kept = T.StructType([T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)])
-    row = T.StructType([*kept.fields, T.StructField("codes", T.ArrayType(T.IntegerType()))])
+    """A row per batch: batch, its distinct words, the ids of those too long for the fold (null in `words`), its rows
+    with their counts of words (null: no text), and the numbers of all their words, the commonest word being 0."""
+    row = T.StructType([*kept_fields(docs, keep), T.StructField("n", T.IntegerType())])
+    ids = T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())),
-                           T.StructField("rows", T.ArrayType(row))])
-    word, prefix = vocab.word, SPACE if vocab.prefix else ""
+                           T.StructField("done", T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("ids", ids)]))),
+                           T.StructField("rows", T.ArrayType(row)), T.StructField("codes", T.BinaryType())])
+    word, prefix, longest = vocab.word, SPACE if vocab.prefix else "", LONG if vocab.bpe else None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(word).findall
-        number = TaskContext.get().partitionId() << 32
+        scores = {p: (s, i) for p, i, s in vocab.pieces}
+        number = TaskContext.get().partitionId() << PARTITION
         for part in parts:
-            start, chars, seen, codes = 0, 0, {}, []
+            start, chars, seen, codes, counts = 0, 0, {}, [], []
             texts = part.column(0)
             for k in range(part.num_rows):
                 value = texts[k].as_py()
                 if value is None:
-                    codes.append(None)
+                    counts.append(None)
                 else:
                     marked = prefix + value.replace(" ", SPACE) if value else ""
                     codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in find(marked)), np.int32))
+                    counts.append(len(codes[-1]))
                     chars += len(value)
-                if chars >= BATCH_CHARS or len(codes) == BATCH_ROWS or k + 1 == part.num_rows:
-                    inner = pa.array(codes, pa.list_(pa.int32()))
-                    columns = [*[c for c in part.slice(start, len(codes)).columns[1:]], inner]
+                if chars >= BATCH_CHARS or len(counts) == BATCH_ROWS or k + 1 == part.num_rows:
+                    words, packed = pack(list(seen), codes)
+                    done = [] if longest is None else [
+                        {"at": at, "ids": merge_with_heap(w, scores, vocab)} for at, w in enumerate(words) if len(w) > longest]
+                    for x in done:
+                        words[x["at"]] = None
+                    columns = [*part.slice(start, len(counts)).columns[1:], pa.array(counts, pa.int32())]
                     rows = pa.StructArray.from_arrays(columns, [f.name for f in row.fields])
-                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([list(seen)], pa.list_(pa.string())),
-                                                      pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), rows)], ["batch", "words", "rows"])
-                    number, start, chars, seen, codes = number + 1, k + 1, 0, {}, []
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([number], pa.int64()), pa.array([words], pa.list_(pa.string())),
+                        pa.array([done], pa.list_(pa.struct([("at", pa.int32()), ("ids", pa.list_(pa.int32()))]))),
+                        pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), rows), pa.array([packed], pa.binary())], schema.names)
+                    number, start, chars, seen, codes, counts = number + 1, k + 1, 0, {}, [], []
         give_back()
 
     columns = [F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)]]
     return docs.select(*columns).mapInArrow(run, schema)
 
 
+def kept_fields(docs: DataFrame, keep: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)]
+
+
+def pack(words: list[str], codes: list[np.ndarray]) -> tuple[list[str], bytes]:
+    """Words by falling frequency and their numbers, renumbered so, byte place by byte place under Zstandard."""
+    flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+    order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+    places = np.empty(len(words), "<u4")
+    places[order] = np.arange(len(words), dtype="<u4")
+    planes = np.ascontiguousarray(places[flat].view(np.uint8).reshape(-1, 4).T)
+    return [words[k] for k in order], zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
+
+
+def in_order(batch: pa.RecordBatch, k: int) -> pa.Array:
+    """The ids of every row of a batch in their order, from the ids of its distinct words."""
+    counts = batch.column("rows")[k].values.field("n")
+    codes = unpack(batch.column("codes")[k].as_py())
+    lengths = np.full(int(codes.max()) + 1 if len(codes) else 0, -1, np.int64)
+    starts, values, before = np.zeros(len(lengths), np.int64), [], 0
+    for name in ("found", "done"):
+        known = batch.column(name)[k].values
+        if known is not None and len(known):
+            at, ids = known.field("at").to_numpy(), known.field("ids")
+            some = ids.value_lengths().to_numpy(zero_copy_only=False)
+            starts[at] = np.cumsum(some) - some + before
+            lengths[at] = some
+            values.append(ids.flatten().to_numpy(zero_copy_only=False))
+            before += len(values[-1])
+    if (lengths < 0).any():
+        raise ValueError("a word of the batch was not encoded")
+    sizes = lengths[codes]
+    ends = np.cumsum(sizes)
+    flat = np.concatenate(values)[np.repeat(starts[codes] - ends + sizes, sizes) + np.arange(sizes.sum())] if values else np.zeros(0, np.int32)
+    words = np.cumsum(counts.fill_null(0).to_numpy(zero_copy_only=False))
+    offsets = np.concatenate([[0], np.concatenate([[0], ends])[words]]).astype(np.int64)
+    nulls = np.append(counts.is_null().to_numpy(zero_copy_only=False), False)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=nulls), pa.array(flat, pa.int32()))
+
+
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: str = "ids", keep: Sequence[str] | None = None) -> DataFrame:
     """`docs`, or the columns of it in `keep`, and the token ids of `text`."""
     vocab = vocabulary(path or default_path())
     keep, out = docs.columns if keep is None else list(keep), fresh(docs, ids)
     # written, so that a task that is run again sees the same numbers
     held = cut(batches(docs, text, keep, vocab))
-    places = held.select("batch", F.posexplode("words").alias("at", "word"))
-    # a word may be in all batches: its ids are joined, not collected
-    table = cut(segment_words(places.select("word").distinct(), vocab))
-    found = (places.join(table, "word").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("p"))
-             .select("batch", F.transform("p", lambda x: x["ids"]).alias("found")))
-    joined = held.select("batch", "rows").join(found, "batch", "left")
-    coded = F.transform("rows", lambda r: F.struct(*[r[f"c{k}"].alias(f"c{k}") for k in range(len(keep))], F.flatten(
-        F.transform(r["codes"], lambda k: F.get("found", k))).alias("ids")))
-    rows = joined.select(F.explode(coded).alias("r"))
-    return rows.select(*[F.col(f"r.c{k}").alias(c) for k, c in enumerate(keep)], F.col("r.ids").alias(out))
+    # each word is encoded once for so many partitions, so that no word gathers more than their batches
+    group = F.shiftright("batch", PARTITION + GROUP).alias("group")
+    places = held.select("batch", group, F.posexplode("words").alias("at", "word")).where(
+        F.col("word").isNotNull() & F.col("group").isNotNull()).repartition("group", "word")
+    # all columns of the places are read here too: one shuffle then serves both sides of the join
+    words = places.groupBy("group", "word").agg(F.max("batch").alias("b"), F.max("at").alias("a")).where("b is not null or a is not null")
+    coded = places.join(segment_words(words.select("group", "word"), vocab, ["group"]), ["group", "word"])
+    found = coded.groupBy("batch").agg(F.collect_list(F.struct("at", "ids")).alias("found"))
+    joined = held.select("batch", "rows", "codes", "done").join(found, "batch", "left").drop("batch")
+    schema = T.StructType([*kept_fields(docs, keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for k in range(part.num_rows):
+                rows = part.column("rows")[k].values
+                columns = [rows.field(j) for j in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, in_order(part, k)], schema.names)
+        give_back()
+
+    rows = joined.mapInArrow(run, schema)
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], F.col("ids").alias(out))
 
 
 def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
