@@ -67,7 +67,8 @@ def fit_rasch(cells: DataFrame, keys: Sequence[str], cycles: int = 5) -> tuple[D
 
     Totals are sufficient: models with the same total share an ability and items
     with the same total share an intercept. The facts are read once for each
-    margin; the iterations run on tables of distinct totals.
+    margin; the iterations run on tables of distinct totals. This holds for complete
+    tables; where cells are missing, totals are still compared with all items.
     """
     keys = list(keys)
     model = cut(cells.groupBy(*keys, "model_id").agg(F.sum("y").cast("bigint").alias("t"), F.count(F.lit(1)).alias("of")))
@@ -89,8 +90,8 @@ def fit_rasch(cells: DataFrame, keys: Sequence[str], cycles: int = 5) -> tuple[D
         center = a.groupBy(*keys).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("_c"))
         b = cut(solve(b, a).join(center, keys).withColumn("v", F.col("v") + F.col("_c")).drop("_c"))
         a = a.join(center, keys).withColumn("v", F.col("v") - F.col("_c")).drop("_c")
-    ability = model.join(a.select(*keys, "t", F.col("v").alias("ability")), [*keys, "t"]).select(*keys, "model_id", "ability")
-    intercept = item.join(b.select(*keys, "t", F.col("v").alias("intercept")), [*keys, "t"]).select(*keys, "item_id", "intercept")
+    ability = model.join(a.select(*keys, "t", "of", F.col("v").alias("ability")), [*keys, "t", "of"]).select(*keys, "model_id", "ability")
+    intercept = item.join(b.select(*keys, "t", "of", F.col("v").alias("intercept")), [*keys, "t", "of"]).select(*keys, "item_id", "intercept")
     return ability, intercept
 
 

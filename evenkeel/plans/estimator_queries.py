@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clipped_logit
 from ..operators import dif, joint, newton, spectral
+from . import fit_sql
 from .fixture import FOLD, Fixture
 from .registry import query, rounded
 
@@ -81,7 +82,7 @@ def rasch(fx: Fixture):
     return newton.fit_rasch(fx.resp, FOLD)
 
 
-@query("fit_rasch")
+@query("fit_rasch", f"SELECT * FROM ({fit_sql.RASCH})")
 def fit_rasch(fx):
     return rounded(rasch(fx)[0], 6)
 
@@ -93,7 +94,7 @@ def family_effects(fx: Fixture):
     return cut(dif.fit_family_dif(fx.resp, rasch(fx)[0], FOLD))
 
 
-@query("fit_family_dif")
+@query("fit_family_dif", f"SELECT * FROM ({fit_sql.FAMILY_DIF})")
 def fit_family_dif(fx):
     return rounded(family_effects(fx), 6)
 
@@ -229,7 +230,7 @@ def factor_cells(fx: Fixture):
         "fold", F.pmod(F.floor(F.col("item_id") / 8), F.lit(3)))
 
 
-@query("bifactor_offsets")
+@query("bifactor_offsets", f"SELECT * FROM ({fit_sql.BIFACTOR})")
 def bifactor_offsets(fx):
     cells = factor_cells(fx)
     keys = [*FOLD, "model_id"]
@@ -248,7 +249,7 @@ def multilevel_offsets(fx):
     return rounded(rows.join(alpha, "model_id"), 6)
 
 
-@query("bifactor_penalty_cv")
+@query("bifactor_penalty_cv", f"SELECT * FROM ({fit_sql.BIFACTOR_CV})")
 def bifactor_penalty_cv(fx):
     return rounded(newton.bifactor_penalty_cv(factor_cells(fx), (1.0, 4.0), list(FOLD)), 6)
 

@@ -75,3 +75,14 @@ def test_bad_settings_and_populations_are_refused(spark):
     cells, _, _ = simulate(spark, items=20, models=30)
     with pytest.raises(ValueError):
         prepare_population(cells, AuditConfig(min_family_models=1000))
+
+
+def test_rasch_keeps_one_row_each_with_missing_cells(spark):
+    """Equal totals over different numbers of items are different levels; no row is doubled."""
+    rows = [(m, i, int((m * 7 + i * 3) % 5 < 2 + m % 2)) for m in range(6) for i in range(8) if m % 3 or i < 5]
+    totals = {(m, sum(y for k, _, y in rows if k == m), sum(k == m for k, _, _ in rows)) for m in range(6)}
+    assert len({t for _, t, _ in totals}) < len({(t, w) for _, t, w in totals})
+    cells = spark.createDataFrame(rows, "model_id long, item_id long, y int").withColumn("k", F.lit("x"))
+    ability, intercept = newton.fit_rasch(cells, ["k"])
+    assert sorted(r["model_id"] for r in ability.collect()) == list(range(6))
+    assert sorted(r["item_id"] for r in intercept.collect()) == list(range(8))
