@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import draw_key
 from ..functions.inference import bh_adjust, binomial_two_sided, cohen_kappa, wilcoxon
 from ..functions.ranks import hash_row_number, spearman
+from ..session import sorted_join
 from .blueprint import replicated
 
 GROUPS = ("stable_high_dif", "matched_control")
@@ -89,7 +90,7 @@ def panel_violations(panel: DataFrame) -> DataFrame:
 
 def _two(labels: DataFrame, names: tuple[str, str]) -> DataFrame:
     one = lambda n, c: labels.filter(F.col("annotator") == n).select("blinded_id", "axis", "kind", F.col("value").alias(c))
-    return one(names[0], "a").join(one(names[1], "b"), ["blinded_id", "axis", "kind"])
+    return one(names[0], "a").join(sorted_join(one(names[1], "b")), ["blinded_id", "axis", "kind"])
 
 
 def kappa_table(labels: DataFrame, names: tuple[str, str]) -> DataFrame:
