@@ -15,7 +15,7 @@ from ..functions.exprs import draw_key, pick
 from ..functions.ranks import hash_row_number
 from ..operators import annotation as ann
 from ..operators import signatures as sig
-from ..session import cut, shared_folder
+from ..session import cut, shared_folder, sorted_join
 from .fixture import CTES, Fixture, md5_sql, pick_sql
 from .registry import query, rnd, rounded
 
@@ -122,7 +122,7 @@ def payloads(fx: Fixture):
     r = hash_row_number(panel(fx).select("blinded_id").withColumn("_h", F.lit(0)), ["_h"], draw_key(SEED, "blinded_id", tag="batch"), "blinded_id")
     batch = r.select("blinded_id", F.floor((F.col("rn") - 1) / 20).alias("batch"))
     value = F.when(pick(38, F.lit(17), "annotator", "axis", "blinded_id") == 0, 7).otherwise(F.col("value")).cast("int")
-    rows = labels(fx).join(batch, "blinded_id").select("annotator", "batch", "blinded_id", "axis", value.alias("value"))
+    rows = labels(fx).join(sorted_join(batch), "blinded_id").select("annotator", "batch", "blinded_id", "axis", value.alias("value"))
     record = F.struct("blinded_id", "axis", "value")
     return rows.groupBy("annotator", "batch").agg(F.to_json(F.struct(F.collect_list(record).alias("annotations"))).alias("payload")), batch
 
@@ -133,7 +133,7 @@ def payloads(fx: Fixture):
 def payload_validate(fx):
     batches, batch = payloads(fx)
     out = None
-    expected = labels(fx).select("annotator", "blinded_id", "axis").join(batch, "blinded_id")
+    expected = labels(fx).select("annotator", "blinded_id", "axis").join(sorted_join(batch), "blinded_id")
     for name in NAMES:
         one = lambda t: t.filter(F.col("annotator") == name).drop("annotator")
         part = ann.payload_violations(one(batches), one(expected), BINARY, ORDINAL).withColumn("annotator", F.lit(name))

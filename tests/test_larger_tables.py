@@ -22,3 +22,11 @@ def test_labels_of_two_annotators_are_not_broadcast(spark):
     kappa = annotation.kappa_table(label_rows(spark), ("a", "b"))
     assert "BroadcastExchange" not in planned(kappa)
     assert [tuple(r) for r in kappa.collect()] == [("x", 1.0)]
+
+
+def test_payload_batches_are_not_broadcast(spark):
+    from evenkeel.plans import annotation_queries
+    from evenkeel.plans.fixture import fixture
+
+    batches, _ = annotation_queries.payloads(fixture(spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin [blinded_id" in planned(batches)
