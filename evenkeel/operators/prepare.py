@@ -107,16 +107,24 @@ def block_match_status(question: Column, options_json: Column, problem: Column,
                     likeness.alias("similarity"))
 
 
+# All space separators of Unicode, which SQL's trim takes off; Spark's takes off the plain space alone.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def trimmed(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACES))
+
+
 def source_family(source: Column) -> Column:
-    low = F.lower(F.trim(source))
+    low = F.lower(trimmed(source))
     return (F.when(low.startswith("ori"), "ori").when(low.startswith("stemez"), "stemez")
             .when(low.startswith("theoremqa"), "theoremQA").otherwise("unknown"))
 
 
 def item_text(question: Column, options: Column) -> Column:
-    """Question and non-blank options, one per line."""
-    kept = F.filter(F.transform(options, F.trim), lambda o: o != "")
-    return F.array_join(F.concat(F.array(F.trim(question)), kept), "\n")
+    """Question and non-blank options, one per line; no options (null) leave the question."""
+    kept = F.filter(F.transform(options, trimmed), lambda o: o != "")
+    return F.array_join(F.concat(F.array(trimmed(question)), F.coalesce(kept, F.array().cast("array<string>"))), "\n")
 
 
 def question_text_join(items: DataFrame, texts: DataFrame, keys: Sequence[str], max_chars: int | None = None) -> DataFrame:

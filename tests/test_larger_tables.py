@@ -30,3 +30,19 @@ def test_payload_batches_are_not_broadcast(spark):
 
     batches, _ = annotation_queries.payloads(fixture(spark, "/root/testdata/sf0.001"))
     assert "SortMergeJoin [blinded_id" in planned(batches)
+
+
+def test_values_of_permuted_items_are_not_broadcast(spark):
+    from evenkeel.operators import annotation
+
+    joins = [line for line in planned(annotation.family_direction(label_rows(spark), 3, 1)).splitlines() if "Join [" in line]
+    assert [line for line in joins if "_k#" in line or "blinded_id#" in line]
+    assert not [line for line in joins if "Broadcast" in line and ("_k#" in line or "blinded_id#" in line)]
+
+
+def test_items_are_trimmed_as_by_sql(spark):
+    from evenkeel.operators import prepare
+
+    t = spark.createDataFrame([("\u00a0q ", ["\u3000a\u2003", " \u00a0", "b\n"]), (" q", None)], "q string, o array<string>")
+    assert [r[0] for r in t.select(prepare.item_text(F.col("q"), F.col("o"))).collect()] == ["q\na\nb\n", "q"]
+    assert t.select(prepare.source_family(F.lit("\u00a0ORI x"))).first()[0] == "ori"
