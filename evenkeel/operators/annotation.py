@@ -188,8 +188,10 @@ def family_direction(labels: DataFrame, permutations: int, seed: int) -> DataFra
     home = place(items, draw_key(seed, *keys, "blinded_id", tag="home")).select(*keys, "_k", "family")
     moved = place(replicated(items.drop("family"), permutations), draw_key(seed, *keys, "replicate", "blinded_id")).select(
         *keys, "replicate", "_k", "blinded_id")
-    values = t.select("annotator", "benchmark", "blinded_id", "axis", "value")
-    cells = moved.join(home, [*keys, "_k"]).join(values, [*keys, "blinded_id"])
+    # an item's values of all axes travel as one row
+    values = t.groupBy(*keys, "blinded_id").agg(F.collect_list(F.struct("axis", "value")).alias("_values"))
+    cells = moved.join(sorted_join(home), [*keys, "_k"]).join(sorted_join(values), [*keys, "blinded_id"]).select(
+        *keys, "replicate", "family", F.inline("_values"))
     null = _association(cells, ["annotator", "axis", "replicate"], prev, ["annotator", "axis"]).withColumnRenamed("statistic", "_n")
     p = null.join(obs, ["annotator", "axis"]).groupBy("annotator", "axis").agg(
         F.round((1 + F.count_if(F.round("_n", 9) >= F.round("statistic", 9))) / (1 + F.count(F.lit(1))), 12).alias("permutation_p"))
