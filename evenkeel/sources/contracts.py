@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, sorted_join
+
 # Patterns of text that must not be published, and column names that identify people or items.
 SENSITIVE_PATTERNS = {
     "absolute_user_path": r"/(?:Users|home)/[^/$\s]+/",
@@ -34,16 +37,29 @@ def validate_responses(responses: DataFrame, models: DataFrame, items: DataFrame
     Rules: only 0/1, complete and unique cells, unique and non-blank model and
     item rows, at least two families and four owners.
     """
-    facts = responses.groupBy(*keys, "item_id", "model_id").agg(
-        F.count(F.lit(1)).alias("c"), F.count_if(F.col("y").isNull() | ~F.col("y").isin(0, 1)).alias("bad"))
-    # Second level per item: plain counts instead of distinct counts over all cells.
-    per_item = facts.groupBy(*keys, "item_id").agg(
-        F.sum("bad").alias("bad"), F.count_if(F.col("c") > 1).alias("rep"), F.count(F.lit(1)).alias("cells"))
-    f = per_item.agg(
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("not_binary"), F.coalesce(F.sum("rep"), F.lit(0)).alias("repeated_cell"),
-        F.sum("cells").alias("_cells"), F.count(F.lit(1)).alias("_items"), F.lit(1).alias("_k"))
-    seen = responses.select("model_id").distinct().agg(F.count(F.lit(1)).alias("_models"), F.lit(1).alias("_k"))
-    f = f.join(seen, "_k").drop("_k")
+    # A model's cells of up to 64 items are one row: a bit for each item seen.
+    whole = dict(responses.dtypes)["item_id"] in ("tinyint", "smallint", "int", "bigint")
+    item = F.col("item_id").cast("bigint") if whole else F.col("item_id")
+    block = F.shiftright(item, 6) if whole else item
+    place = F.coalesce(item.bitwiseAND(F.lit(63)), F.lit(0)).cast("int") if whole else F.lit(0)
+    cells = responses.withColumn("_block", block).withColumn("_bit", F.call_function("shiftleft", F.lit(1).cast("bigint"), place))
+    facts = cut(cells.groupBy(*keys, "_block", "model_id").agg(
+        F.count(F.lit(1)).alias("c"), F.count_if(F.col("y").isNull() | ~F.col("y").isin(0, 1)).alias("bad"), F.bit_or("_bit").alias("_seen")))
+    f = facts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("not_binary"), F.coalesce(F.sum(F.bit_count("_seen")), F.lit(0)).cast("bigint").alias("_cells"), F.lit(1).alias("_k"))
+    listed = facts.groupBy(*keys, "_block").agg(F.bit_or("_seen").alias("_seen")).agg(
+        F.coalesce(F.sum(F.bit_count("_seen")), F.lit(0)).cast("bigint").alias("_items"), F.lit(1).alias("_k"))
+    # Single cells are counted only in the rows that hold more cells than bits.
+    twice = facts.where(F.col("c") > F.bit_count("_seen")).select(*keys, "_block", "model_id")
+    if twice.take(1):
+        same = [cells[k].eqNullSafe(twice[k]) for k in (*keys, "_block", "model_id")]
+        rows = cells.join(sorted_join(twice), reduce(Column.__and__, same), "left_semi")
+        rep = rows.groupBy(*keys, "item_id", "model_id").agg(F.count(F.lit(1)).alias("c")).agg(
+            F.count_if(F.col("c") > 1).alias("repeated_cell"), F.lit(1).alias("_k"))
+        f = f.join(rep, "_k")
+    else:
+        f = f.withColumn("repeated_cell", F.lit(0).cast("bigint"))
+    seen = facts.select("model_id").distinct().agg(F.count(F.lit(1)).alias("_models"), F.lit(1).alias("_k"))
+    f = f.join(listed, "_k").join(seen, "_k").drop("_k")
     m = models.agg(
         (F.count(F.lit(1)) - F.countDistinct("model_id")).alias("repeated_model"),
         F.count_if(_blank("model_id") | _blank("family") | _blank("owner")).alias("blank_model_field"),

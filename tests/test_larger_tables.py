@@ -1,5 +1,7 @@
 """Steps that once failed or grew on larger tables."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from evenkeel.session import cut
@@ -46,3 +48,21 @@ def test_items_are_trimmed_as_by_sql(spark):
     t = spark.createDataFrame([("\u00a0q ", ["\u3000a\u2003", " \u00a0", "b\n"]), (" q", None)], "q string, o array<string>")
     assert [r[0] for r in t.select(prepare.item_text(F.col("q"), F.col("o"))).collect()] == ["q\na\nb\n", "q"]
     assert t.select(prepare.source_family(F.lit("\u00a0ORI x"))).first()[0] == "ori"
+
+
+def test_contract_counts_cells_in_blocks_of_items(spark):
+    from evenkeel.sources import contracts
+
+    models = spark.createDataFrame([(1, "f", "o")], "model_id long, family string, owner string")
+    items = spark.createDataFrame([(1, "g")], "item_id long, item_group string")
+
+    def found(rows):
+        cells = spark.createDataFrame(rows, "benchmark string, item_id long, model_id long, y int")
+        got = contracts.validate_responses(cells, models, items, ["benchmark"])
+        rules = {r["rule"]: r["violations"] for r in got.collect()}
+        return planned(got), [rules[k] for k in ("not_binary", "repeated_cell", "missing_cell")]
+
+    whole = [(b, i, m, 0) for b in "ab" for i in (-1, 0, 63, 64, 200) for m in (1, 2)]
+    plan, counts = found(whole)
+    assert counts == [0, 0, 0] and not re.search(r"keys=\[benchmark#\d+, item_id", plan)
+    assert found(whole[1:] + [("a", 64, 1, 0)] * 2 + [("b", None, 2, None), ("b", None, 2, 3), (None, 5, 1, 1), (None, 5, 1, 1)])[1] == [2, 3, 3]
