@@ -66,3 +66,20 @@ def test_contract_counts_cells_in_blocks_of_items(spark):
     plan, counts = found(whole)
     assert counts == [0, 0, 0] and not re.search(r"keys=\[benchmark#\d+, item_id", plan)
     assert found(whole[1:] + [("a", 64, 1, 0)] * 2 + [("b", None, 2, None), ("b", None, 2, 3), (None, 5, 1, 1), (None, 5, 1, 1)])[1] == [2, 3, 3]
+
+
+def test_orders_are_not_broadcast(spark):
+    from evenkeel.plans.fixture import fixture
+
+    plan = planned(fixture(spark, "/root/testdata/sf0.001").hits)
+    assert "SortMergeJoin [l_orderkey" in plan and "Broadcast" not in plan
+
+
+def test_terms_are_counted_where_texts_lie(spark):
+    from evenkeel.operators import text
+
+    t = spark.createDataFrame([(1, "aa bb aa bb"), (2, "bb"), (1, "bb"), (3, None)], "item_id long, text string")
+    counts = text.term_counts(t)
+    assert planned(counts).count("Exchange") == 1
+    assert sorted(tuple(r) for r in counts.collect()) == [
+        (1, "aa", 2), (1, "aa bb", 2), (1, "bb", 3), (1, "bb aa", 1), (2, "bb", 1)]
