@@ -24,7 +24,8 @@ def grams(text: Column) -> Column:
 
 
 def term_counts(items: DataFrame, text: str = "text") -> DataFrame:
-    return items.select("item_id", F.explode(grams(F.col(text))).alias("term")).groupBy("item_id", "term").agg(
+    """Terms of each item with their counts. The texts are dealt by item, so that their many terms are counted where they arise."""
+    return items.select("item_id", text).repartition("item_id").select("item_id", F.explode(grams(F.col(text))).alias("term")).groupBy("item_id", "term").agg(
         F.count(F.lit(1)).alias("tf"))
 
 
