@@ -83,3 +83,23 @@ def test_terms_are_counted_where_texts_lie(spark):
     assert planned(counts).count("Exchange") == 1
     assert sorted(tuple(r) for r in counts.collect()) == [
         (1, "aa", 2), (1, "aa bb", 2), (1, "bb", 3), (1, "bb aa", 1), (2, "bb", 1)]
+
+
+def test_near_items_meet_in_blocks(spark, monkeypatch):
+    from evenkeel.operators import matching
+
+    monkeypatch.setattr(matching, "BLOCK", 3)
+    monkeypatch.setattr(matching, "CHUNK_PAIRS", 4)
+    rows = [(k, "ab"[k % 7 == 0] if k % 11 else None, k % 2 == 0, None if k == 8 else (k * 37 % 60 - 30) / 20,
+             [k * 13 % 10 / 10] if k % 9 == 0 else [k * 13 % 10 / 10, None if k == 21 else float(k % 3)]) for k in range(120)]
+    items = spark.createDataFrame(rows, "item_id long, cell string, selected boolean, intercept double, profile array<double>")
+    got = matching.pair_candidates(items, [], 0.5)
+    assert "FlatMapGroupsInArrow" in planned(got)
+    want = []
+    for a in rows:
+        for b in rows:
+            if a[2] and not b[2] and a[1] is not None and a[1] == b[1] and None not in (a[3], b[3], *a[4], *b[4]) and len(a[4]) == len(b[4]):
+                gap, cost = (a[3] - b[3]) ** 2, sum((x - y) ** 2 for x, y in zip(a[4], b[4]))
+                if gap <= 0.25 + 1e-12 and cost <= 0.25 + 1e-12:
+                    want.append((a[1], a[0], b[0], cost, gap))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 100
