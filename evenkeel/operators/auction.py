@@ -9,7 +9,9 @@ from a coarse bidding step to a finer one.
 Costs are whole multiples of the largest one over `grid`; with a last step below one part in the
 number of bidders the result is optimal for these costs.
 
-A cell with up to `TASK_EDGES` possible pairs is solved in one task. In a larger one the bidders are
+A cell with up to `TASK_PAIRS` pairs of its sides is solved in one task from its items, by bids
+without a step and shortest augmenting paths (`pair_whole`); so is a list of up to `TASK_EDGES`
+possible pairs, by the auction. In a larger one the bidders are
 dealt into blocks: a block lets its free bidders bid against each other at the prices it was given,
 each place goes to the highest bid of all blocks, and those who lose bid again in the next round.
 Old prices can only be too low, which leaves a winner's choice as good as it was.
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 TASK_EDGES = 2_000_000  # possible pairs of a cell, or bids of a block, that one task holds
+TASK_PAIRS = 1 << 26  # items times partners of a cell whose costs (512 MB) one task holds
 FINER = 8  # by which the bidding step shrinks
 
 
@@ -103,6 +106,90 @@ def pair(item: np.ndarray, partner: np.ndarray, cost: np.ndarray, n: int, m: int
     return holder[:m][hit], hit, reach
 
 
+def pair_whole(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns paired: most pairs with a finite cost first, then the least total cost.
+
+    Costs are whole multiples of the largest over up to 2**32 steps; a forbidden pair costs more than all others.
+    """
+    possible = np.isfinite(cost)
+    rows, columns = np.flatnonzero(possible.any(1)), np.flatnonzero(possible.any(0))
+    if not len(rows):
+        return rows, columns
+    if len(rows) < cost.shape[0] or len(columns) < cost.shape[1]:
+        cost = cost[np.ix_(rows, columns)]
+    flipped = cost.shape[0] > cost.shape[1]
+    whole = np.empty(cost.shape[::-1] if flipped else cost.shape, np.int64)
+    n = len(whole)
+    top = max((float(c[np.isfinite(c)].max()) for c in cost), default=0.0) or 1.0
+    parts = max(1, min(1 << 32, (1 << 61) // (n + 1) ** 2))
+    forbidden = (n + 1) * parts
+    for k in range(n):
+        c = cost[:, k] if flipped else cost[k]
+        fine = np.isfinite(c)
+        whole[k] = np.where(fine, np.rint(np.where(fine, c, 0.0) / top * parts), forbidden)
+    del cost
+    at = assigned(whole)
+    hit = np.flatnonzero(whole[np.arange(n), at] < forbidden)
+    return (rows[at[hit]], columns[hit]) if flipped else (rows[hit], columns[at[hit]])
+
+
+def assigned(cost: np.ndarray) -> np.ndarray:
+    """The column of each row, of a whole-numbered matrix with no more rows than columns, by least total.
+
+    Rows first bid for columns without a step; those left over are placed along shortest paths. A
+    column's price only falls, and only once it is taken.
+    """
+    n, m = cost.shape
+    if m == 1:
+        return np.zeros(n, int)
+    far = np.iinfo(np.int64).max
+    price, row_of, column_of = np.zeros(m, np.int64), np.full(m, -1), np.full(n, -1)
+    left = list(range(n))
+    for _ in range(3):
+        todo, left = left[::-1], []
+        bids = 4 * n
+        while todo:
+            row, bids = todo.pop(), bids - 1
+            total = cost[row] - price
+            column = int(total.argmin())
+            least, total[column] = total[column], far
+            other = int(total.argmin())
+            gain = total[other] - least
+            price[column] -= gain
+            if not gain and row_of[column] >= 0:
+                column = other
+            out = row_of[column]
+            row_of[column], column_of[row] = row, column
+            if out >= 0:
+                column_of[out] = -1
+                (todo if gain and bids > 0 else left).append(out)
+    for row in np.flatnonzero(column_of < 0):
+        reach, back = cost[row] - price, np.full(m, row)
+        waiting, spare, done, order = reach.copy(), np.flatnonzero(row_of < 0), np.zeros(m, bool), []
+        while True:
+            column, end = int(waiting.argmin()), spare[waiting[spare].argmin()]
+            length = waiting[column]
+            if waiting[end] == length:
+                break
+            done[column], waiting[column] = True, far
+            order.append(column)
+            holder = row_of[column]
+            total = cost[holder] - price
+            total += length - total[column]
+            nearer = np.flatnonzero((total < reach) & ~done)
+            reach[nearer] = waiting[nearer] = total[nearer]
+            back[nearer] = holder
+        price[order] += reach[order] - length
+        column = end
+        while True:
+            holder = back[column]
+            row_of[column] = holder
+            column_of[holder], column = column, column_of[holder]
+            if holder == row:
+                break
+    return column_of
+
+
 def paired(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Pairs (by, item_id, control_id, reach) among `edges` (by, item_id, control_id, cost).
 

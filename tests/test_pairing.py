@@ -126,3 +126,35 @@ def test_widening_finds_the_unrestricted_pairing(spark):
 def test_empty_tables_have_no_pairs(spark):
     items = cells(spark, {"a": (1, 1)}).limit(0)
     assert matching.pair_optimal(items, [], None).count() == 0 and matching.pair_optimal(items, [], 1.0).count() == 0
+
+
+def test_whole_cells_equal_exhaustive_search_and_shortest_paths():
+    rng = np.random.default_rng(1)
+    for k in range(150):
+        n, m = rng.integers(1, 6, 2)
+        cost = np.where(rng.random((n, m)) < (0.5 if k % 2 else 0.9), rng.integers(0, 5, (n, m)) / 4 if k % 3 else rng.random((n, m)), np.inf)
+        a, b = auction.pair_whole(cost)
+        want = exhaustive(cost)
+        assert len(set(a)) == len(set(b)) == len(a) == want[0] and cost[a, b].sum() == pytest.approx(want[1], abs=1e-6), cost
+    for n, m in ((1200, 1200), (200, 900), (900, 200)):
+        x, y = rng.normal(size=(n, 8)), np.tile(rng.normal(size=(m // 2, 8)), (2, 1))
+        cost = ((x[:, None] - y[None]) ** 2).sum(2)
+        a, b = auction.pair_whole(cost)
+        assert len(a) == min(n, m) and cost[a, b].sum() == pytest.approx(by_paths(cost if n <= m else cost.T), abs=1e-6)
+
+
+def test_cells_beyond_a_task_go_by_rounds(spark, monkeypatch):
+    items = cells(spark, {"a": (6, 8), "b": (1, 2), "c": (3, 0)})
+    want = totals(items, matching.pair_optimal(items, [], 0.5))
+    called, rounds = [], auction.in_rounds
+    monkeypatch.setattr(auction, "in_rounds", lambda *a: called.append(1) or rounds(*a))
+    monkeypatch.setattr(auction, "TASK_PAIRS", 1)
+    monkeypatch.setattr(auction, "TASK_EDGES", 10)
+    monkeypatch.setattr(auction, "FINER", 1 << 20)
+    assert totals(items, matching.pair_optimal(items, [], 0.5)) == {k: (n, pytest.approx(t, abs=1e-6)) for k, (n, t) in want.items()} and called
+
+
+def test_cells_of_millions_of_pairs_are_not_listed(spark, monkeypatch):
+    monkeypatch.setattr(auction, "paired", lambda *a: pytest.fail("pairs are listed"))
+    items = cells(spark, {"a": (1500, 1500)})
+    assert [matching.pair_optimal(items, [], k).count() for k in (None, 9.0)] == [1500, 1500]
