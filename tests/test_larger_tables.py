@@ -103,3 +103,34 @@ def test_near_items_meet_in_blocks(spark, monkeypatch):
                 if gap <= 0.25 + 1e-12 and cost <= 0.25 + 1e-12:
                     want.append((a[1], a[0], b[0], cost, gap))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 100
+
+
+def test_blocks_are_reported_by_bits(spark):
+    from evenkeel.sources import tables
+
+    def report(cells):
+        layout = spark.createDataFrame([("a", 0, 70), ("b", 70, 100)], "dataset string, start long, stop long")
+        index = spark.createDataFrame([("m", 0), ("n", 1)], "name string, model_index long")
+        got = tables.assembly_report(spark.createDataFrame(cells, "dataset string, local_item long, name string, y int"), layout, index)
+        plan = planned(got)
+        return plan, {r["dataset"]: tuple(r)[1:] for r in got.collect()}
+
+    whole = [("a", i, m, i % 2) for i in range(70) for m in "mn"] + [("b", 3, "m", 1)]
+    plan, counts = report(whole)
+    assert counts == {"a": (140, 70, 0, 0, 0), "b": (1, 1, 0, 0, 0)} and not re.search(r"keys=\[[^\]]*item", plan)
+    more = [("a", 5, "m", 1), ("a", 5, "m", 0), ("a", 63, "n", 1), ("a", 70, "m", 1), ("a", -1, "m", 0), ("a", 1, "x", 1), ("a", 1, "y", 1), ("a", 2, "x", 0),
+            ("b", None, "n", None), ("b", None, "n", 1), ("c", 1, "m", 1)]
+    assert report(whole + more)[1] == {"a": (148, 75, 2, 2, 3), "b": (3, 2, 0, 0, 1)}
+
+
+def test_successes_are_counted_as_bits(spark):
+    from evenkeel.plans.fixture import Fixture
+
+    fx = Fixture(spark, "/root/testdata/sf0.001")
+    t = spark.createDataFrame([("A", 1, 0), ("A", 1, 0), ("A", 1, 63), ("A", 1, 199), ("A", 1, -1), ("A", 1, -1), ("A", 1, None), ("A", 1, None), (None, 1, 64), ("N", 2, 128), ("N", None, 1)],
+                              "benchmark string, model_id long, item_id long")
+    fx.__dict__["bought"] = t
+    assert sorted((str(r["benchmark"]), str(r["model_id"]), r["s"]) for r in fx.hit_bits.collect()) == [("A", "1", 5), ("N", "2", 1), ("N", "None", 1), ("None", "1", 1)]
+    got = fx.dense(spark.createDataFrame([(1,), (2,), (3,)], "model_id long"))
+    assert "collect_set" not in planned(got) and got.count() == 1800
+    assert sorted((r["model_id"], r["benchmark"], r["item_id"]) for r in got.where("y = 1").collect()) == [(1, "A", 0), (1, "A", 63), (1, "A", 199), (2, "N", 128)]
