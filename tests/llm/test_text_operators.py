@@ -179,6 +179,41 @@ def test_encoding_equals_the_library_and_decodes(spark):
     assert sentencepiece.encode(rows(spark, (1, "")).limit(0)).count() == 0
 
 
+def test_encoding_sends_words_in_buckets_and_texts_once(spark):
+    # (group, word) was an exchange of single words, and the batches were written before they were sent
+    coded = sentencepiece.encode(rows(spark, *((k, f"word{k} the thing") for k in range(200))))
+    assert coded.count() == 200
+    coded.collect()
+    final = coded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    sent = [line for line in final.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert len(sent) == 3 and not any("word" in line for line in sent), sent
+
+
+def test_words_up_to_the_longest_of_the_fold_equal_the_library(spark):
+    import sentencepiece as library
+
+    random_ = random.Random(5)
+    texts = ["".join(random_.choice("etaoinshrdl") for _ in range(n)) for n in range(28, 52)] + ["  x", "y  ", "a  b▁c", "ab,c d.e. f", " "]
+    model = library.SentencePieceProcessor(model_file=sentencepiece.default_path())
+    for r in sentencepiece.encode(rows(spark, *enumerate(texts))).collect():
+        assert r.ids_1 == model.encode(texts[r.doc_id]), r
+
+
+def test_pieces_that_come_up_late_are_merged_at_once(spark):
+    vocab = sentencepiece.Vocabulary(sentencepiece.default_path())
+    random_ = random.Random(3)
+    pieces = [*"abc", *{"".join(random_.choice("abc") for _ in range(random_.randint(2, 5))) for _ in range(60)}]
+    random_.shuffle(pieces)
+    vocab.pieces = [(p, 300 + i, -float(i)) for i, p in enumerate(pieces)]
+    rank = {p: i for i, p in enumerate(pieces)}
+    vocab.ranked = [(p, (rank[p] << 33) + (i << 1) + sentencepiece.late(p, rank)) for p, i, _ in vocab.pieces]
+    vocab.longest, scores = 5, {p: (s, i) for p, i, s in vocab.pieces}
+    words = sorted({"".join(random_.choice("abc") for _ in range(random_.randint(1, 20))) for _ in range(200)})
+    swept = sentencepiece.segment_words(spark.createDataFrame([(w,) for w in words], "word string"), vocab).collect()
+    # single pieces of ASCII are looked up by the plan's array, the others by their edge
+    assert {r.word: r.ids for r in swept} == {w: sentencepiece.merge_with_heap(w, scores, vocab) for w in words}
+
+
 def test_unigram_models_take_the_best_path(spark):
     vocab = sentencepiece.Vocabulary(sentencepiece.default_path())
     vocab.bpe, random_ = False, random.Random(2)
