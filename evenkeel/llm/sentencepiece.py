@@ -226,13 +226,13 @@ def merged_words(words: DataFrame, vocab: Vocabulary, keys: list[str]) -> DataFr
     at = F.col("start").cast("long") * (1 << 27) + F.col("length") * (1 << 21)
     edges = (strings.join(F.broadcast(pieces), "piece", "left").where(F.col("code").isNotNull() | (F.col("start") == 0))
              .select(*keys, "word", (F.col("code") + at).alias("edge")).groupBy(*keys, "word").agg(F.collect_list("edge").alias("edges")))
-    pairs = F.filter("edges", lambda e: edge_length(e) > 1)
+    pairs = F.filter("edges", lambda e: e.bitwiseAND(62 << 21) != 0)
     n = F.char_length("word")
 
     def ids(first: Column, stop: Column) -> Column:
         text = F.substr("word", first + 1, stop - first)
-        place = first * 64 + stop - first
-        found = F.get(F.filter("edges", lambda e: F.shiftright(e, 21).bitwiseAND(4095) == place), F.lit(0))
+        place = (first * 64 + stop - first).cast("long") * (1 << 21)
+        found = F.get(F.filter("edges", lambda e: e.bitwiseAND(4095 << 21) == place), F.lit(0))
         joined = F.shiftright(found, 1).bitwiseAND((1 << 20) - 1).cast("int")
         code = F.when(stop - first > 1, joined).when(text == SPACE, F.lit(one.get(SPACE)).cast("int")).when(
             F.ascii(text) < ASCII, F.get(plain, F.ascii(text))).otherwise(joined)
