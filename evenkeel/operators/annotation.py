@@ -6,8 +6,12 @@ disc_family, val_family, axis, kind, value), so an axis is a key, not a column.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.exprs import draw_key
 from ..functions.inference import bh_adjust, binomial_two_sided, cohen_kappa, wilcoxon
 from ..functions.ranks import hash_row_number, spearman
-from ..session import sorted_join
+from ..session import cut, small_enough, sorted_join
 from .blueprint import replicated
 
 GROUPS = ("stable_high_dif", "matched_control")
@@ -146,7 +150,11 @@ def paired_ordinal(labels: DataFrame) -> DataFrame:
 
 def _association(cells: DataFrame, by: Sequence[str], prevalence: DataFrame, prev_keys: Sequence[str]) -> DataFrame:
     """Sum over (benchmark, family) of (obs - n pi)^2 / (n pi (1 - pi)); certain benchmarks are skipped."""
-    obs = cells.groupBy(*by, "benchmark", "family").agg(F.sum("value").alias("o"), F.count(F.lit(1)).alias("n"))
+    return _statistic(cells.groupBy(*by, "benchmark", "family").agg(F.sum("value").alias("o"), F.count(F.lit(1)).alias("n")), by, prevalence, prev_keys)
+
+
+def _statistic(obs: DataFrame, by: Sequence[str], prevalence: DataFrame, prev_keys: Sequence[str]) -> DataFrame:
+    """The sum of `_association` from the successes `o` of `n` values per (benchmark, family)."""
     pi, e = F.col("pi"), F.col("n") * F.col("pi")
     part = F.when((pi > 0) & (pi < 1), (F.col("o") - e) * (F.col("o") - e) / (e * (1 - pi))).otherwise(0.0)
     return obs.join(prevalence, [*prev_keys, "benchmark"]).groupBy(*by).agg(F.sum(part).alias("statistic"))
@@ -174,14 +182,92 @@ def prevalence(labels: DataFrame) -> DataFrame:
                                  F.avg("r").alias("standardized_prevalence"))
 
 
-def family_direction(labels: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """Permutation test of the association inside benchmarks, extreme families, q and a two-annotator signal.
-
-    Values move between items of one benchmark; the order is shared by all axes.
+# From so many permutations on, each is drawn in a task from the packed items, if these fit a broadcast.
+PACKED_PERMUTATIONS = 100
+PACKED_BYTES = 64  # of an item, about
+
+
+def _drawn_order(head: str, tails: list[bytes]) -> np.ndarray:
+    """Positions of the items in the order of their keyed hashes (`draw_key`); `tails` are in the order of the ids, which breaks ties."""
+    start = hashlib.md5(head.encode(), usedforsecurity=False)
+
+    def digest(tail: bytes) -> bytes:
+        h = start.copy()
+        h.update(tail)
+        return h.digest()
+
+    first, second = np.frombuffer(b"".join(map(digest, tails)), ">u8").reshape(-1, 2).T.astype(np.uint64)
+    order = np.argsort(first)
+    met = first[order]
+    return np.lexsort((second, first)) if (met[1:] == met[:-1]).any() else order
+
+
+def _pack_items(t: pa.Table, seed: int) -> pa.Table:
+    """All items of one annotator and benchmark as one row: ids, families in the order of the homes, and each item's pattern: sums and numbers of values per axis."""
+    t = t.sort_by("blinded_id")
+    who, benchmark = t["annotator"][0].as_py(), t["benchmark"][0].as_py()
+    # a null id takes its place, but no value: as it meets none in a join
+    tails = [b"" if v is None else f"|{v}".encode() for v in t["blinded_id"].to_pylist()]
+    lists = t["_values"].combine_chunks()
+    item, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+    value, axis = flat.field("value"), flat.field("axis").dictionary_encode()
+    used = axis.is_valid().to_numpy(zero_copy_only=False) & t["blinded_id"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)[item]
+    cell = item * len(axis.dictionary) + axis.indices.fill_null(0).to_numpy()
+    size = t.num_rows * len(axis.dictionary)
+    parts = [np.bincount(cell[used], w[used], size).reshape(t.num_rows, -1) for w in (
+        value.cast(pa.float64()).fill_null(0).to_numpy(), np.ones(len(cell)), value.is_valid().to_numpy(zero_copy_only=False).astype(float))]
+    patterns, pattern = np.unique(np.hstack(parts), axis=0, return_inverse=True)
+    family = t["family"].combine_chunks().dictionary_encode()
+    home = family.indices.to_numpy()[_drawn_order(f"{seed}|home|{who}|{benchmark}", tails)]
+    one = lambda v, kind: pa.array([v], kind)
+    return pa.table({
+        "annotator": one(who, pa.string()), "benchmark": one(benchmark, pa.string()), "tails": one(tails, pa.list_(pa.binary())),
+        "home": one(home.astype("<i4").tobytes(), pa.binary()), "families": one(family.dictionary.to_pylist(), pa.list_(pa.string())),
+        "axes": one(axis.dictionary.to_pylist(), pa.list_(pa.string())), "pattern": one(pattern.ravel().astype("<i4").tobytes(), pa.binary()),
+        "patterns": one(np.ascontiguousarray(patterns, "<f8").tobytes(), pa.binary())})
+
+
+def _permuted_counts(items: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """Successes `o` of `n` values of each (annotator, axis, replicate, benchmark, family) when the values move.
+
+    `items`: (annotator, benchmark, blinded_id, family, _values), broadcast as one row per annotator and
+    benchmark. A task draws its share of the permutations and counts the values of each family in it.
     """
-    t = stable_direction(labels)
-    prev = t.groupBy("annotator", "axis", "benchmark").agg(F.avg("value").alias("pi"))
-    obs = _association(t, ["annotator", "axis"], prev, ["annotator", "axis"])
+    keys = ["annotator", "benchmark"]
+    schema = "annotator string, benchmark string, tails array<binary>, home binary, families array<string>, axes array<string>, pattern binary, patterns binary"
+    packed = items.where("annotator IS NOT NULL AND benchmark IS NOT NULL").withColumn("annotator", F.col("annotator").cast("string")).withColumn(
+        "benchmark", F.col("benchmark").cast("string")).groupBy(*keys).applyInArrow(lambda t: _pack_items(t, seed), schema)
+    spark = items.sparkSession
+    parts = min(permutations, 8 * spark.sparkContext.defaultParallelism)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, who, benchmark, tails, home, families, axes, pattern, patterns = (
+                    batch.column(c)[k] for c in ("id", *keys, "tails", "home", "families", "axes", "pattern", "patterns"))
+                tails, n, across = tails.values.to_pylist(), len(families), len(axes)
+                home, pattern = (np.frombuffer(v.as_buffer(), "<i4") for v in (home, pattern))
+                patterns = np.frombuffer(patterns.as_buffer(), "<f8").reshape(-1, 3 * across)
+                met = home.astype(np.int64) * len(patterns)
+                replicates = np.arange(part.as_py() + 1, permutations + 1, parts)
+                got = np.empty((len(replicates), n, 3 * across))
+                for r, replicate in enumerate(replicates):
+                    order = _drawn_order(f"{seed}|{who}|{benchmark}|{replicate}", tails)
+                    got[r] = np.bincount(met + pattern[order], minlength=n * len(patterns)).reshape(n, -1) @ patterns
+                o, rows, filled = (got[:, :, c * across:(c + 1) * across].ravel() for c in range(3))
+                some = rows > 0
+                at = np.indices((len(replicates), n, across)).reshape(3, -1)[:, some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(who, some.sum()), axes.values.take(pa.array(at[2])), pa.array(replicates[at[0]]), pa.repeat(benchmark, some.sum()),
+                     families.values.take(pa.array(at[1])), pa.array(o[some], mask=filled[some] == 0), pa.array(rows[some].astype(np.int64))],
+                    ["annotator", "axis", "replicate", "benchmark", "family", "o", "n"])
+
+    return spark.range(0, parts, 1, parts).crossJoin(F.broadcast(packed)).mapInArrow(
+        draw, "annotator string, axis string, replicate bigint, benchmark string, family string, o double, n bigint")
+
+
+def _permuted_cells(t: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """Values of each permutation with the family whose place they take, joined row by row."""
     items = t.select("annotator", "benchmark", "blinded_id", "family").distinct()
     keys = ["annotator", "benchmark"]
     place = lambda d, key: hash_row_number(d, [k for k in (*keys, "replicate") if k in d.columns], key, "blinded_id", "_k")
@@ -190,9 +276,27 @@ def family_direction(labels: DataFrame, permutations: int, seed: int) -> DataFra
         *keys, "replicate", "_k", "blinded_id")
     # an item's values of all axes travel as one row
     values = t.groupBy(*keys, "blinded_id").agg(F.collect_list(F.struct("axis", "value")).alias("_values"))
-    cells = moved.join(sorted_join(home), [*keys, "_k"]).join(sorted_join(values), [*keys, "blinded_id"]).select(
+    return moved.join(sorted_join(home), [*keys, "_k"]).join(sorted_join(values), [*keys, "blinded_id"]).select(
         *keys, "replicate", "family", F.inline("_values"))
-    null = _association(cells, ["annotator", "axis", "replicate"], prev, ["annotator", "axis"]).withColumnRenamed("statistic", "_n")
+
+
+def family_direction(labels: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """Permutation test of the association inside benchmarks, extreme families, q and a two-annotator signal.
+
+    Values move between items of one benchmark; the order is shared by all axes.
+    """
+    t = stable_direction(labels)
+    prev = t.groupBy("annotator", "axis", "benchmark").agg(F.avg("value").alias("pi"))
+    obs = _association(t, ["annotator", "axis"], prev, ["annotator", "axis"])
+    by = ["annotator", "axis", "replicate"]
+    null = None
+    if permutations >= PACKED_PERMUTATIONS:
+        whole = cut(t.groupBy("annotator", "benchmark", "blinded_id", "family").agg(F.collect_list(F.struct("axis", "value")).alias("_values")))
+        if small_enough(whole.count(), PACKED_BYTES):
+            null = _statistic(_permuted_counts(whole, permutations, seed), by, cut(prev), ["annotator", "axis"])
+    if null is None:
+        null = _association(_permuted_cells(t, permutations, seed), by, prev, ["annotator", "axis"])
+    null = null.withColumnRenamed("statistic", "_n")
     p = null.join(obs, ["annotator", "axis"]).groupBy("annotator", "axis").agg(
         F.round((1 + F.count_if(F.round("_n", 9) >= F.round("statistic", 9))) / (1 + F.count(F.lit(1))), 12).alias("permutation_p"))
     std = prevalence(labels)

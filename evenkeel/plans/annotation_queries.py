@@ -28,7 +28,7 @@ FAMILIES = ("gemma", "llama", "mistral", "phi", "qwen")
 LETTERS = dict(zip((*BINARY, *ORDINAL), "abcdefghijklm"))
 BOOSTED = "quantitative_symbolic"
 SEED = 31
-PERMUTATIONS = 20
+PERMUTATIONS = 10_000  # as the reference draws
 FAM_LIST = ", ".join(f"'{f}'" for f in FAMILIES)
 
 CTES["fx_panel"] = f"""SELECT doc_id AS blinded_id, benchmark, cell, benchmark || '|' || cell || '|' || ((r - 1) // 2) AS pair_id,
