@@ -29,6 +29,12 @@ def test_one_axis_alone_can_give_a_signal(spark, rows):
     assert min(r["permutation_p"] for r in got) == pytest.approx(1 / 10_001)
 
 
+def test_replay_counts_the_signal(spark, rows, monkeypatch):
+    monkeypatch.setattr(queries, "labels", lambda fx: rows)
+    got = {r["metric"]: r["value"] for r in queries.content_replay(Fixture(spark, "/root/testdata/sf0.001")).collect()}
+    assert got["dual_signal_axes"] == 1.0 and got["unique_items"] == 240.0
+
+
 def test_packed_items_are_drawn_as_joined_ones(spark, rows, monkeypatch):
     at = F.col("blinded_id")
     odd = rows.where("NOT (blinded_id % 5 = 0 AND axis = 'formal_rule_reasoning')").withColumn("value", F.when(at % 7 != 0, F.col("value")))
