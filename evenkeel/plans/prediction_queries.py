@@ -63,9 +63,7 @@ TF_SQL = f"""WITH w AS (SELECT doc_id AS item_id, regexp_extract_all(lower(text)
 
 
 def document_weights(fx: Fixture):
-    counts = cut(text.term_counts(documents(fx)))
-    vocab = text.vocabulary(counts, fx.table("documents").count(), MAX_FEATURES)
-    return text.tfidf(counts, cut(vocab))
+    return text.term_weights(documents(fx), fx.table("documents").count(), MAX_FEATURES)
 
 
 @query("tfidf", f"{TF_SQL} SELECT item_id, count(*) AS terms, round(sum(weight), 8) AS total, round(max(weight), 8) AS top FROM n GROUP BY 1")
@@ -94,11 +92,11 @@ def truncated_svd(fx):
 def feature_blocks(fx: Fixture):
     """Blocks over documents: one-hot metadata, n-gram weights, and character-class shares as low-rank input."""
     docs = documents(fx)
-    split = population.stratified_item_split(docs.drop("text"), "lang", "item_id", 0.7, BOOT_SEED)
+    split = cut(population.stratified_item_split(docs.drop("text"), "lang", "item_id", 0.7, BOOT_SEED))
     meta = text.one_hot(split, ["lang", "source"], F.col("part") == "train").select("item_id", "feature", F.lit(1.0).alias("value"))
-    weights = document_weights(fx).select("item_id", F.col("term").alias("feature"), F.col("weight").alias("value"))
-    letters = F.array(*[(F.length("text") - F.length(F.replace("text", F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnop"])
-    dense = text.low_rank(split.join(docs.select("item_id", letters.alias("features")), "item_id"), 4, 16, F.col("part") == "train")
+    weights = cut(document_weights(fx)).select("item_id", F.col("term").alias("feature"), F.col("weight").alias("value"))
+    letters = text.letter_counts(docs, "abcdefghijklmnop")
+    dense = text.low_rank(cut(split.join(letters, "item_id")), 4, 16, F.col("part") == "train")
     svd = dense.select("item_id", F.posexplode("projection").alias("pos", "value")).select(
         "item_id", F.col("pos").cast("string").alias("feature"), "value")
     return split, {"metadata": meta, "tfidf": weights, "svd": svd}
