@@ -10,9 +10,10 @@ Costs are whole multiples of the largest one over `grid`; with a last step below
 number of bidders the result is optimal for these costs.
 
 A cell with up to `TASK_PAIRS` pairs of its sides is solved in one task from its items, by bids
-without a step and shortest augmenting paths (`pair_whole`); so is a list of up to `TASK_EDGES`
-possible pairs, by the auction. In a larger one the bidders are
-dealt into blocks: a block lets its free bidders bid against each other at the prices it was given,
+without a step and shortest augmenting paths (`pair_whole`); one with up to `TASK_EDGES // 8` items by
+such paths among near partners (`flows`), with more pairs listed until prices prove that no other helps
+(`matching.pair_near`). A list of up to `TASK_EDGES` possible pairs is solved by the auction. In a
+larger one the bidders are dealt into blocks: a block lets its free bidders bid against each other at the prices it was given,
 each place goes to the highest bid of all blocks, and those who lose bid again in the next round.
 Old prices can only be too low, which leaves a winner's choice as good as it was.
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 TASK_EDGES = 2_000_000  # possible pairs of a cell, or bids of a block, that one task holds
-TASK_PAIRS = 1 << 26  # items times partners of a cell whose costs (512 MB) one task holds
+TASK_PAIRS = 1 << 22  # items times partners of a cell whose costs (32 MB) one task holds
 FINER = 8  # by which the bidding step shrinks
 
 
@@ -190,6 +191,72 @@ def assigned(cost: np.ndarray) -> np.ndarray:
     return column_of
 
 
+def flows(first: np.ndarray, column: np.ndarray, cost: np.ndarray, supply: np.ndarray, room: np.ndarray, alone: int) -> tuple[list[dict[int, int]], np.ndarray]:
+    """Units of each row by column, of least total cost, and the columns' prices.
+
+    Row i has `supply` units and pairs first[i] to first[i + 1], sorted by column; a unit may stay alone
+    at a cost no re-pairing makes up for. Each row's units go along shortest paths; a column's price
+    only falls, and only once the column is full.
+    """
+    n, m, far = len(supply), len(room), np.iinfo(np.int64).max
+    price, spare, left = np.zeros(m, np.int64), room.tolist(), supply.tolist()
+    held: list[dict[int, int]] = [{} for _ in range(m)]
+    reach, waiting, back = (np.empty(m, np.int64) for _ in range(3))
+
+    def pairs(row: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(first[row], first[row + 1])
+        return column[at], cost[at] - price[column[at]]
+
+    for row in range(n):
+        while left[row]:
+            reach.fill(far)
+            waiting.fill(far)
+            places, total = pairs(row)
+            reach[places] = waiting[places] = total
+            back[places] = row
+            met, via, stay, last = [], {row: -1}, alone, row
+            while True:
+                end = int(waiting.argmin())
+                length = int(waiting[end])
+                if stay <= length:
+                    end, length = -1, stay
+                    break
+                if spare[end]:
+                    break
+                waiting[end] = far
+                met.append(end)
+                for holder in held[end]:
+                    if holder in via:
+                        continue
+                    via[holder] = end
+                    places, total = pairs(holder)
+                    total += length - total[np.searchsorted(places, end)]
+                    here = length - int(cost[first[holder] + np.searchsorted(places, end)] - price[end]) + alone
+                    if here < stay:
+                        stay, last = here, holder
+                    near = total < reach[places]
+                    places, total = places[near], total[near]
+                    reach[places] = waiting[places] = total
+                    back[places] = holder
+            price[met] += reach[met] - length
+            path = [(last if end < 0 else int(back[end]), end)]
+            while path[-1][0] != row:
+                end = via[path[-1][0]]
+                path.append((int(back[end]), end))
+            units = min([left[row], *([] if path[0][1] < 0 else [spare[path[0][1]]]), *(held[left_][holder] for (holder, _), (_, left_) in zip(path, path[1:]))])
+            for (holder, _), (_, given) in zip(path, path[1:]):
+                held[given][holder] -= units
+                if not held[given][holder]:
+                    del held[given][holder]
+            for holder, taken in path:
+                if taken >= 0:
+                    held[taken][holder] = held[taken].get(holder, 0) + units
+            if path[0][1] >= 0:
+                spare[path[0][1]] -= units
+            left[row] -= units
+    return held, price
+
+
 def paired(edges: DataFrame, by: Sequence[str]) -> DataFrame:
     """Pairs (by, item_id, control_id, reach) among `edges` (by, item_id, control_id, cost).
 

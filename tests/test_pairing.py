@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +159,32 @@ def test_cells_of_millions_of_pairs_are_not_listed(spark, monkeypatch):
     monkeypatch.setattr(auction, "paired", lambda *a: pytest.fail("pairs are listed"))
     items = cells(spark, {"a": (1500, 1500)})
     assert [matching.pair_optimal(items, [], k).count() for k in (None, 9.0)] == [1500, 1500]
+
+
+@pytest.mark.parametrize(("nearest", "more", "strip"), [(1, 1, 30), (2, 1, 1 << 24), (3, 2, 30), (64, 16, 1 << 24)])
+def test_few_near_partners_give_the_best_pairing(monkeypatch, nearest, more, strip):
+    for name, value in (("NEAREST", nearest), ("MORE", more), ("STRIP", strip)):
+        monkeypatch.setattr(matching, name, value)
+    rng = np.random.default_rng(nearest)
+    for k in range(60):
+        n, m = rng.integers(1, 40, 2)
+        x, y = (rng.normal(size=(size, 3)) * 0.3 for size in (n, m))
+        if k % 3 == 0:  # points that come several times
+            x, y = np.round(x * 4) / 4, np.round(y * 4) / 4
+        a, b = (pd.DataFrame({"intercept": s[:, 0], "profile": list(s[:, 1:])}) for s in (x, y))
+        if k % 5 == 0:
+            a.at[0, "profile"], b.at[0, "intercept"] = np.ones(4), np.nan
+        for caliper in (None, 0.3, 0.6):
+            cost = matching._costs(a, b, caliper)
+            want, (i, j) = auction.pair_whole(cost), matching.pair_near(a, b, caliper)
+            assert len(set(i)) == len(set(j)) == len(i) == len(want[0]) and cost[i, j].sum() == pytest.approx(cost[want].sum(), abs=1e-6)
+
+
+def test_cells_beyond_all_pairs_are_solved_in_a_task(spark, monkeypatch):
+    items = cells(spark, {"a": (60, 80), "b": (30, 20)})
+    want = {k: totals(items, matching.pair_optimal(items, [], k)) for k in (None, 0.5)}
+    monkeypatch.setattr(auction, "TASK_PAIRS", 100)
+    for name in ("pair_widening", "pair_candidates"):
+        monkeypatch.setattr(matching, name, lambda *a: pytest.fail("pairs are listed"))
+    for k in (None, 0.5):
+        assert totals(items, matching.pair_optimal(items, [], k)) == {c: (n, pytest.approx(t, abs=1e-6)) for c, (n, t) in want[k].items()}
