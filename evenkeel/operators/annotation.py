@@ -6,7 +6,6 @@ disc_family, val_family, axis, kind, value), so an axis is a key, not a column.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.draws import KeyedOrder
 from ..functions.exprs import draw_key
 from ..functions.inference import bh_adjust, binomial_two_sided, cohen_kappa, wilcoxon
 from ..functions.ranks import hash_row_number, spearman
@@ -187,21 +187,6 @@ PACKED_PERMUTATIONS = 100
 PACKED_BYTES = 64  # of an item, about
 
 
-def _drawn_order(head: str, tails: list[bytes]) -> np.ndarray:
-    """Positions of the items in the order of their keyed hashes (`draw_key`); `tails` are in the order of the ids, which breaks ties."""
-    start = hashlib.md5(head.encode(), usedforsecurity=False)
-
-    def digest(tail: bytes) -> bytes:
-        h = start.copy()
-        h.update(tail)
-        return h.digest()
-
-    first, second = np.frombuffer(b"".join(map(digest, tails)), ">u8").reshape(-1, 2).T.astype(np.uint64)
-    order = np.argsort(first)
-    met = first[order]
-    return np.lexsort((second, first)) if (met[1:] == met[:-1]).any() else order
-
-
 def _pack_items(t: pa.Table, seed: int) -> pa.Table:
     """All items of one annotator and benchmark as one row: ids, families in the order of the homes, and each item's pattern: sums and numbers of values per axis."""
     t = t.sort_by("blinded_id")
@@ -218,7 +203,7 @@ def _pack_items(t: pa.Table, seed: int) -> pa.Table:
         value.cast(pa.float64()).fill_null(0).to_numpy(), np.ones(len(cell)), value.is_valid().to_numpy(zero_copy_only=False).astype(float))]
     patterns, pattern = np.unique(np.hstack(parts), axis=0, return_inverse=True)
     family = t["family"].combine_chunks().dictionary_encode()
-    home = family.indices.to_numpy()[_drawn_order(f"{seed}|home|{who}|{benchmark}", tails)]
+    home = family.indices.to_numpy()[KeyedOrder(tails)(f"{seed}|home|{who}|{benchmark}")]
     one = lambda v, kind: pa.array([v], kind)
     return pa.table({
         "annotator": one(who, pa.string()), "benchmark": one(benchmark, pa.string()), "tails": one(tails, pa.list_(pa.binary())),
@@ -251,8 +236,9 @@ def _permuted_counts(items: DataFrame, permutations: int, seed: int) -> DataFram
                 met = home.astype(np.int64) * len(patterns)
                 replicates = np.arange(part.as_py() + 1, permutations + 1, parts)
                 got = np.empty((len(replicates), n, 3 * across))
+                drawn = KeyedOrder(tails)
                 for r, replicate in enumerate(replicates):
-                    order = _drawn_order(f"{seed}|{who}|{benchmark}|{replicate}", tails)
+                    order = drawn(f"{seed}|{who}|{benchmark}|{replicate}")
                     got[r] = np.bincount(met + pattern[order], minlength=n * len(patterns)).reshape(n, -1) @ patterns
                 o, rows, filled = (got[:, :, c * across:(c + 1) * across].ravel() for c in range(3))
                 some = rows > 0

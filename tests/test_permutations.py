@@ -1,8 +1,11 @@
 """The family permutation test: enough draws for a signal, drawn in tasks from packed items."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel.functions import draws
 from evenkeel.operators import annotation
 from evenkeel.plans import annotation_queries as queries
 from evenkeel.plans.fixture import Fixture
@@ -47,3 +50,13 @@ def test_packed_items_are_drawn_as_joined_ones(spark, rows, monkeypatch):
     monkeypatch.setattr(annotation, "PACKED_PERMUTATIONS", 100)
     monkeypatch.setattr(annotation, "PACKED_BYTES", 1 << 40)
     assert packed == way()
+
+
+def test_order_is_that_of_the_keyed_hashes(monkeypatch):
+    monkeypatch.setattr(draws, "CHUNK", 64)
+    for tails in ([], [b""], [f"|{k}".encode() for k in range(1, 2000, 7)], [b"|" + b"x" * (k % 60) + b"%d" % k for k in range(300)], [b"|a", b"|b", b"|a"],
+                  [f"|é{k}".encode() for k in range(100)]):
+        order = draws.KeyedOrder(tails)
+        for head in ("", "7", "31|home|annotator_a|B3", "31|annotator_b|B4|10000", "31|é|1"):
+            keys = [(hashlib.md5(head.encode() + t).hexdigest(), k) for k, t in enumerate(tails)]
+            assert order(head).tolist() == [k for _, k in sorted(keys)]
