@@ -279,7 +279,7 @@ def family_direction(labels: DataFrame, permutations: int, seed: int) -> DataFra
     if permutations >= PACKED_PERMUTATIONS:
         whole = cut(t.groupBy("annotator", "benchmark", "blinded_id", "family").agg(F.collect_list(F.struct("axis", "value")).alias("_values")))
         if small_enough(whole.count(), PACKED_BYTES):
-            null = _statistic(_permuted_counts(whole, permutations, seed), by, cut(prev), ["annotator", "axis"])
+            null = cut(_statistic(_permuted_counts(whole, permutations, seed), by, cut(prev), ["annotator", "axis"]))
     if null is None:
         null = _association(_permuted_cells(t, permutations, seed), by, prev, ["annotator", "axis"])
     null = null.withColumnRenamed("statistic", "_n")
